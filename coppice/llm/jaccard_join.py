@@ -253,7 +253,7 @@ ORACLE = r"""
 WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 words AS (SELECT text, min(doc_id) AS item, count(*) AS n, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM docs GROUP BY text),
 sets AS (SELECT text, item, n, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS s FROM words),
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words),
 flat AS (SELECT item, n, len(s) AS size, unnest(s) AS v FROM sets),
 pairs AS (SELECT a.item AS a, b.item AS b, any_value(a.n) AS na, any_value(b.n) AS nb FROM flat a JOIN flat b ON a.v = b.v AND a.item < b.item
   GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.size) + any_value(b.size) - count(*)) - 1e-9),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join
+from . import embedding_dedup, jaccard_join, language_id, mixing
 from .common import table
 
 
@@ -14,9 +14,27 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    return language_id.identify_language(docs, model, [docs["doc_id"], language_id.held_out().alias("held_out")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op5_ngram_jaccard_join, op6_embedding_near_dedup, op8_mixing_sources, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard_join": jaccard_join.ORACLE}
+    return {
+        "op5_ngram_jaccard_join": jaccard_join.ORACLE,
+        "op6_embedding_near_dedup": embedding_dedup.ORACLE,
+        "op8_mixing_sources": mixing.ORACLE,
+    }
