@@ -59,6 +59,16 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def sample_labels(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
+    """(id, label int) of at most `most` labelled ids, drawn by hash: small enough to broadcast. Null ids and labels
+    are left out; an id with several labels has the largest."""
+    rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
+    share = 0.98 * most / max(1, rows.count())
+    if share < 1:
+        rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return rows.groupBy("id").agg(F.max("label").alias("label")).limit(most)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = np.asarray(x, dtype=np.uint64)

@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, language_id, mixing
+from . import embedding_dedup, jaccard_join, language_id, mixing, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, labels), [docs["doc_id"], toxicity.held_out().alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -29,7 +37,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_ngram_jaccard_join, op6_embedding_near_dedup, op8_mixing_sources, op10_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op5_ngram_jaccard_join, op6_embedding_near_dedup, op8_mixing_sources, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
