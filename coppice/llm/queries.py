@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, language_id, mixing, toxicity
+from . import embedding_dedup, jaccard_join, language_id, mixing, quality, toxicity, url_filter
 from .common import table
 
 
@@ -18,6 +18,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~quality.held_out())
+    scored = quality.score_quality(docs, quality.fit(docs, labels), [docs["doc_id"], quality.held_out().alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.fit(pages))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -37,7 +49,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_ngram_jaccard_join, op6_embedding_near_dedup, op8_mixing_sources, op10_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_url_filter, op5_ngram_jaccard_join, op6_embedding_near_dedup, op8_mixing_sources, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
