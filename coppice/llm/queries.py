@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, language_id, mixing, quality, toxicity, url_filter
+from . import embedding_dedup, jaccard_join, language_id, mixing, pii, quality, toxicity, url_filter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.fit(pages))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_url_filter, op5_ngram_jaccard_join, op6_embedding_near_dedup, op8_mixing_sources, op10_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_url_filter, op4_pii, op5_ngram_jaccard_join, op6_embedding_near_dedup, op8_mixing_sources, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
