@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import grouped, save
 
 #: Members of one block; a task holds two blocks at most.
-BLOCK = 256
+BLOCK = 512
 TASK = ["bucket", "bi", "bj"]
 
 
