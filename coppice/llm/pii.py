@@ -149,7 +149,7 @@ def generalised(text: Column, spans: Column) -> Column:
     """The text with its spans replaced by the marks of their kinds."""
     marks = F.array(*(F.lit(MARKS[k]) for k in KINDS))
     # The furthest end of the spans before each one: what lies between it and the start is kept.
-    before = prefixes(F.transform(spans, lambda s: s["end"]), F.greatest)
+    before = prefixes(F.transform(spans, lambda s: s["end"]), lambda a, v: F.greatest(a, v))
     pieces = F.zip_with(
         spans,
         before,
