@@ -90,7 +90,7 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_co
     out = out.select(*docs.columns, "size", "taken", times)
     words = F.least("size", F.col("taken") - (F.col("time") - 1) * F.col("size"))
     pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), words.cast("string"), F.lit("}+"))
-    cut = F.when(words < F.col("size"), F.regexp_extract(F.col(text_col), pattern, 0)).otherwise(F.col(text_col))
+    cut = F.when(words < F.col("size"), F.regexp_substr(F.col(text_col), pattern)).otherwise(F.col(text_col))
     return out.withColumn(text_col, cut).select(docs.columns)
 
 

@@ -119,14 +119,16 @@ def revealing_terms(rows: DataFrame) -> DataFrame:
     return pairs.join(seen, "term").join(held, "entity").filter((share >= SHARE) & (bits >= BITS)).select("term").distinct()
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per input row: id, base and spans (arrays of start, kind, end, value; code points, end exclusive), and
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: id (or the columns of keep), base and spans (arrays of start, kind, end, value; code points, end exclusive), and
     text with every span generalised if with_text.
 
     Null text counts as empty and has no span. Spans are ordered by start, then kind. Where spans overlap, the text
     shows the mark of the first and drops the rest of the others. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kept = [F.col(c).alias(f"_{c}") for c in keep if c != text_col] if keep else [F.col(id_col).alias("id")]
+    rows = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    names = rows.columns[:-1]
     base = rows.withColumn("spans", base_spans(F.col("text")))
     terms = save(revealing_terms(base), "pii-terms")
     if terms.isEmpty():
@@ -141,8 +143,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         holds = F.col("terms").isNotNull()
         own = matches(F.col("text"), F.when(holds, pattern).otherwise(r"\A(?!\A)"), holds, KINDS.index("term"))
         clear = F.filter(own, lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-        out = keyed.select("id", "text", F.array_sort(F.concat("spans", clear)).alias("spans"), F.col("spans").alias("base"))
-    return out.select("id", "base", "spans", *([generalised(F.col("text"), F.col("spans")).alias("text")] if with_text else []))
+        out = keyed.select(*names, "text", F.array_sort(F.concat("spans", clear)).alias("spans"), F.col("spans").alias("base"))
+    names = [F.col(n).alias(n.removeprefix("_")) for n in names]
+    return out.select(*names, "base", "spans", *([generalised(F.col("text"), F.col("spans")).alias("text")] if with_text else []))
 
 
 def generalised(text: Column, spans: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, jaccard_join, language_id, mixing, pii, quality, sentencepiece, toxicity, url_filter
+from . import embedding_dedup, jaccard_join, language_id, media, mixing, pii, quality, sentencepiece, toxicity, url_filter
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_url_filter, op4_pii, op5_ngram_jaccard_join, op6_embedding_near_dedup, op8_mixing_sources, op9_sentencepiece, op10_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality, op3_url_filter, op4_pii, op5_ngram_jaccard_join, op6_embedding_near_dedup, op7_media_columns, op8_mixing_sources, op9_sentencepiece, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,4 +1,7 @@
-"""The corpus pipeline: stages over documents, each one an operator of coppice.llm."""
+"""The corpus pipeline: stages over documents, each one an operator of coppice.llm.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +10,54 @@ from pyspark.sql import functions as F
 
 from coppice.llm.common import save, table
 from coppice.llm.jaccard_join import ngram_jaccard_join
+from coppice.llm.language_id import fit, held_out, identify_language
+from coppice.llm.mixing import apply_mix, mix_sources
+from coppice.llm.pii import find_pii
+from coppice.llm.sentencepiece import encode_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language stay, under the predicted one; those without (no letter at all) go."""
+    model = fit(docs.filter(~held_out()))
+    found = identify_language(docs, model, [docs[c] for c in COLUMNS])
+    return found.filter("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of least doc_id. Rows that repeat it go too."""
+    """One document of each group of near copies stays: the one of least doc_id. Rows that repeat it go too; rows
+    without a doc_id stay."""
     kept = ngram_jaccard_join(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS).union(docs.filter("doc_id is null").select(COLUMNS))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its personal data are generalised, and n_chars follows the text."""
+    out = find_pii(docs, keep=COLUMNS, with_text=True)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: documents repeat by whole epochs; the cut falls within one document a source."""
+    out = apply_mix(docs, mix_sources(docs))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its ids instead of its text."""
+    keep = [docs["doc_id"], docs["lang"], docs["source"]]
+    return encode_documents(docs, keep).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("source_mixture", mixture),
+    ("sentencepiece", tokens),
+]
+#: Trained models and hashing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
