@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -69,6 +70,16 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, most: int) ->
     return rows.groupBy("id").agg(F.max("label").alias("label")).limit(most)
 
 
+def kept_in_worker(key: str, make):
+    """make(), or what it gave before in this Python worker under the same key. A worker keeps the last key's object
+    only, so that models are unpacked, and what they remember is learned, once a worker instead of once a task."""
+    held = sys.modules.setdefault("_coppice_worker", types.ModuleType("_coppice_worker"))
+    if getattr(held, "key", None) != key:
+        held.key = held.value = None  # let the old object go before the new one is made
+        held.value, held.key = make(), key
+    return held.value
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = np.asarray(x, dtype=np.uint64)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import ahocorasick
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import kept_in_worker, prepare
 
 MARK = "▁"
 #: The default vocabulary, among the public files of the box; a parameter of every entry point.
@@ -138,10 +139,11 @@ def encode_documents(docs: DataFrame, keep: list, text_col: str = "text", model:
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     names = rows.columns[:-1]
     shared = spark.sparkContext.broadcast(read_model(model) if isinstance(model, str) else model)
+    key = uuid.uuid4().hex
     extra = ["n_tokens", "ids_sha256", "decoded_sha256", "exact"] if digests else ["ids"]
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = kept_in_worker(key, lambda: Codec(shared.value))
         for b in batches:
             out: list[list] = [[] for _ in extra]
             for text in b.column("_text").to_pylist():
@@ -168,9 +170,10 @@ def decode_documents(encoded: DataFrame, keep: list, ids_col: str = "ids", model
     rows = encoded.select(*keep, F.col(ids_col).cast("array<int>").alias("_ids"))
     names = rows.columns[:-1]
     shared = spark.sparkContext.broadcast(read_model(model) if isinstance(model, str) else model)
+    key = uuid.uuid4().hex
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = kept_in_worker(key, lambda: Codec(shared.value))
         for b in batches:
             texts = [codec.decode(x or []) for x in b.column("_ids").to_pylist()]
             yield pa.record_batch([*(b.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
