@@ -44,7 +44,8 @@ class _Columns:
 
 
 class _Arrays:
-    exp, abs, sign, where, minimum, maximum, power, sqrt = np.exp, np.abs, np.sign, np.where, np.minimum, np.maximum, np.power, np.sqrt
+    exp, abs, sign, minimum, maximum, power, sqrt = np.exp, np.abs, np.sign, np.minimum, np.maximum, np.power, np.sqrt
+    where = staticmethod(np.where)
 
     @staticmethod
     def log(x):
@@ -111,24 +112,32 @@ def trigamma(x):
     return out
 
 
+#: Chebyshev coefficients of the complementary error function, relative error under 1.2e-7.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
 def erf(x):
-    """Error function by the series below 2.5 and the continued fraction above; error under 1e-9."""
+    """Error function: on arrays by series and continued fraction, under 1e-9; on Columns by a polynomial that code
+    generation can hold, under 1.2e-7."""
     m = engine(x)
-    a = m.minimum(m.abs(x), 6.0)
+    if m is COLUMNS:
+        t = 1.0 / (1.0 + 0.5 * F.abs(x))
+        inner = F.lit(ERFC[-1])
+        for c in ERFC[-2::-1]:
+            inner = c + t * inner
+        return F.signum(x) * (1.0 - t * F.exp(-x * x + inner))
+    a = np.minimum(np.abs(x), 6.0)
     term = total = a
-    for n in range(1, 40):
+    for n in range(1, 60):
         term = -term * a * a / n
         total = total + term / (2 * n + 1)
     low = 2 / math.sqrt(math.pi) * total
-    frac = a
-    for k in range(40, 0, -1):
-        frac = a + (k / 2.0) / frac
-    b = m.maximum(a, 1.0)
+    b = np.maximum(a, 1.0)
     frac = b
-    for k in range(40, 0, -1):
+    for k in range(60, 0, -1):
         frac = b + (k / 2.0) / frac
-    high = 1.0 - m.exp(-b * b) / math.sqrt(math.pi) / frac
-    return m.sign(x) * m.where(a < 2.5, low, high)
+    high = 1.0 - np.exp(-b * b) / math.sqrt(math.pi) / frac
+    return np.sign(x) * np.where(a < 2.5, low, high)
 
 
 def normal_cdf(x):
