@@ -84,13 +84,13 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_co
 
     Ids must be unique. A document of no words stays out; an empty mix gives no rows.
     """
-    taken = mixed.filter("taken > 0").select(id_col, "size", "taken")
-    out = docs.join(taken, id_col)
-    times = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("time")
-    out = out.select(*docs.columns, "size", "taken", times)
-    words = F.least("size", F.col("taken") - (F.col("time") - 1) * F.col("size"))
+    taken = mixed.filter("taken > 0").select(F.col(id_col).alias("_mixed"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    out = docs.join(taken, docs[id_col] == taken["_mixed"])
+    times = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))).alias("_time")
+    out = out.select(*docs.columns, "_size", "_taken", times)
+    words = F.least("_size", F.col("_taken") - (F.col("_time") - 1) * F.col("_size"))
     pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), words.cast("string"), F.lit("}+"))
-    cut = F.when(words < F.col("size"), F.regexp_substr(F.col(text_col), pattern)).otherwise(F.col(text_col))
+    cut = F.when(words < F.col("_size"), F.regexp_substr(F.col(text_col), pattern)).otherwise(F.col(text_col))
     return out.withColumn(text_col, cut).select(docs.columns)
 
 

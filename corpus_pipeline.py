@@ -20,27 +20,33 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language stay, under the predicted one; those without (no letter at all) go."""
+    docs = docs.select(COLUMNS)
     model = fit(docs.filter(~held_out()))
     found = identify_language(docs, model, [docs[c] for c in COLUMNS])
     return found.filter("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of least doc_id. Rows that repeat it go too; rows
-    without a doc_id stay."""
+    """One document of each group of near copies stays: the one of least doc_id. Rows that repeat its doc_id go too.
+    Of rows without a doc_id one of each text stays."""
+    docs = docs.select(COLUMNS)
     kept = ngram_jaccard_join(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS).union(docs.filter("doc_id is null").select(COLUMNS))
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.union(docs.filter("doc_id is null").dropDuplicates(["text"]))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its personal data are generalised, and n_chars follows the text."""
-    out = find_pii(docs, keep=COLUMNS, with_text=True)
+    out = find_pii(docs.select(COLUMNS), keep=COLUMNS, with_text=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: documents repeat by whole epochs; the cut falls within one document a source."""
-    out = apply_mix(docs, mix_sources(docs))
+    """Sources at their target weights: documents repeat by whole epochs; the cut falls within one document a source.
+    Documents without words stay out. Rows without a doc_id take part under their text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    docs = docs.select(*COLUMNS, name.alias("mix_id"))
+    out = apply_mix(docs, mix_sources(docs, "mix_id"), "mix_id")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
