@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import apply_logistic, fit_logistic
-from .common import crc_mod, prepare, sample_labels
+from .common import crc_mod, kept_in_worker, prepare, sample_labels
 
 #: Characters of the longest n-gram; absolute discount; least labelled documents for a class n-gram of its own.
 ORDER, DISCOUNT, RARE = 6, 0.75, 4
@@ -53,18 +54,25 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """(text, label: 0, 1 or null) -> (gram, toxic, ordinary, seen): documents, per word, that hold it, by class and in all."""
 
     def run(batches):
-        tallies = (Counter(), Counter(), Counter())
+        toxic, ordinary, seen = Counter(), Counter(), Counter()
 
         def flush():
             total: dict[str, list[int]] = {}
-            for k, tally in enumerate(tallies):
-                for word, n in tally.items():
-                    for piece in spelled(word):
-                        for g in grams(piece):
-                            row = total.get(g)
-                            if row is None:
-                                row = total[g] = [0, 0, 0]
-                            row[k] += n
+            for word, n in seen.items():
+                t, o = toxic.get(word, 0), ordinary.get(word, 0)
+                for piece in spelled(word):
+                    for i in range(1, len(piece)):
+                        g = piece[max(0, i - ORDER + 1) : i + 1]
+                        row = total.get(g)
+                        if row is None:
+                            total[g] = [t, o, n]
+                        else:
+                            row[2] += n
+                            if t:
+                                row[0] += t
+                            if o:
+                                row[1] += o
+            for tally in (toxic, ordinary, seen):
                 tally.clear()
             names = list(total)
             for lo in range(0, len(names), 20_000):
@@ -76,9 +84,9 @@ def count_grams(docs: DataFrame) -> DataFrame:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
                 words = set(words_of(text))
                 if label is not None:
-                    tallies[0 if label else 1].update(words)
-                tallies[2].update(words)
-            if len(tallies[2]) > 300_000:
+                    (toxic if label else ordinary).update(words)
+                seen.update(words)
+            if len(seen) > 600_000:
                 yield from flush()
         yield from flush()
 
@@ -164,22 +172,36 @@ def document_features(scores: np.ndarray) -> np.ndarray:
     return np.array([top[-1], top[0], scores.mean(), math.log1p(strong), math.log1p(len(scores)) / 10])
 
 
-def _scored(shared, names):
+class Evidence:
+    """A model with the evidence of the words and the ratios of the n-grams it has met, a bounded number of either."""
+
+    def __init__(self, model: Model):
+        self.model, self.known, self.ratios = model, {}, {}
+
+    def __call__(self, words: list[str]) -> list[float]:
+        known = self.known
+        try:
+            return [known[w] for w in words]
+        except KeyError:
+            if len(known) > 400_000:
+                known.clear()
+            if len(self.ratios) > 600_000:
+                self.ratios.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = self.model.evidence(w, self.ratios)
+            return [known[w] for w in words]
+
+
+def _scored(shared, weights, names):
+    key = uuid.uuid4().hex
+
     def run(batches):
-        model, weights = shared.value
-        known: dict[str, float] = {}
-        ratios: dict[str, float] = {}
+        evidence = kept_in_worker(key, lambda: Evidence(shared.value))
         for b in batches:
             rows = []
             for text in b.column("_text").to_pylist():
-                words = words_of(text)
-                if len(known) > 500_000:
-                    known.clear()
-                    ratios.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = model.evidence(w, ratios)
-                rows.append(document_features(np.array([known[w] for w in words])))
+                rows.append(document_features(np.array(evidence(words_of(text)))))
             x = np.array(rows)
             out = [b.column(n) for n in names]
             if weights is None:
@@ -204,8 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     used = counts.filter("seen > 1").orderBy(F.desc(F.col("toxic") >= RARE), F.desc("seen"), "gram").limit(MOST_GRAMS)
     model = Model([tuple(r) for r in used.toPandas().itertuples(index=False)])
     part = every.join(F.broadcast(known.filter(tune)), "id").select("id", "label", F.col("text").alias("_text"))
-    shared = spark.sparkContext.broadcast((model, None))
-    got = part.mapInArrow(_scored(shared, ["id", "label"]), "id long, label int, features array<double>").toPandas().sort_values("id")
+    shared = spark.sparkContext.broadcast(model)
+    got = part.mapInArrow(_scored(shared, None, ["id", "label"]), "id long, label int, features array<double>").toPandas().sort_values("id")
     x = np.array(got["features"].tolist()).reshape(-1, FEATURES)
     return model, fit_logistic(x, got["label"].to_numpy().astype(float))
 
@@ -219,7 +241,7 @@ def score_toxicity(docs: DataFrame, model: tuple[Model, dict], keep: list, text_
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     names = rows.columns[:-1]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model), names), f"{fields}, score double")
+    return rows.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model[0]), model[1], names), f"{fields}, score double")
 
 
 def held_out(id_col: str = "doc_id"):
