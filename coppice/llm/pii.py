@@ -9,7 +9,6 @@ enough different contexts are spans of the kind `term`, wherever they occur.
 
 from __future__ import annotations
 
-import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,29 +34,37 @@ CONTEXTS, SHARE, BITS = 3, 0.5, 6.0
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 
-def prefixes(values: Column, fold) -> Column:
-    """Fold from 0 of all values before each one, in blocks of about the square root of their number, so that a text
-    with many matches does not take quadratic time. fold: addition or the greater of two."""
-    n = F.size(values)
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(n.cast("double"))).cast("int"))
+def with_prefixes(df: DataFrame, values: str, name: str, fold) -> DataFrame:
+    """df with a column: fold from 0 of all values before each one of an array column, in blocks of about the square
+    root of their number, so that a text with many matches does not take quadratic time. fold: addition or maximum."""
+    v, step = F.col(values), F.col("_step")
 
     def total(x):
         return F.aggregate(x, F.lit(0), fold)
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda b: total(F.slice(values, b * step + 1, step)))
-    starts = F.transform(blocks, lambda _, i: total(F.slice(blocks, F.lit(1), i)))
-    return F.transform(values, lambda _, i: fold(starts[F.floor(i / step).cast("int")], total(F.slice(values, F.floor(i / step).cast("int") * step + 1, i % step))))
+    df = df.withColumn("_step", F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")))
+    df = df.withColumn("_blocks", F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / step).cast("int")), lambda b: total(F.slice(v, b * step + 1, step)))))
+    df = df.withColumn("_starts", F.transform("_blocks", lambda _, i: total(F.slice("_blocks", F.lit(1), i))))
+    at = lambda i: F.floor(i / step).cast("int")
+    out = F.transform(v, lambda _, i: fold(F.get("_starts", at(i)), total(F.slice(v, at(i) * step + 1, i % step))))
+    return df.withColumn(name, out).drop("_step", "_blocks", "_starts")
 
 
-def matches(text: Column, pattern: Column, holds: Column, kind: int) -> Column:
-    """Array of (start, kind, end, value), in code points, of the leftmost non-overlapping matches; empty unless holds."""
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-    ends = F.zip_with(prefixes(steps, lambda a, v: a + v), steps, lambda a, b: a + b)
-    spans = F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("value")))
-    return F.when(holds, F.when(F.size(found) > 0, spans).otherwise(empty)).otherwise(empty)
+SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
+
+
+def with_matches(df: DataFrame, name: str, pattern: Column, holds: Column, kind: int) -> DataFrame:
+    """df with a column of (start, kind, end, value), in code points, of the leftmost non-overlapping matches in its
+    column text; empty unless holds. Each step is a column of its own, so that nothing is matched or summed twice."""
+    text = F.col("text")
+    df = df.withColumn("_found", F.when(holds, F.regexp_extract_all(text, pattern, F.lit(0))))
+    df = df.withColumn("_gaps", F.when(F.size("_found") > 0, F.split(text, pattern, -1)))
+    df = df.withColumn("_steps", F.zip_with(F.slice("_gaps", F.lit(1), F.size("_found")), "_found", lambda g, m: F.length(g) + F.length(m)))
+    df = with_prefixes(df, "_steps", "_before", lambda a, v: a + v)
+    df = df.withColumn("_ends", F.zip_with("_before", "_steps", lambda a, b: a + b))
+    spans = F.zip_with("_ends", "_found", lambda e, m: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("value")))
+    df = df.withColumn(name, F.coalesce(F.when(F.size("_found") > 0, spans), F.array().cast(SPANS)))
+    return df.drop("_found", "_gaps", "_steps", "_before", "_ends")
 
 
 def luhn(value: Column) -> Column:
@@ -66,62 +73,87 @@ def luhn(value: Column) -> Column:
     return F.aggregate(digits, F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
-def base_spans(text: Column) -> Column:
-    """The valid base spans of all kinds, by start, then kind."""
-
-    def found(kind: str, holds: Column, valid) -> Column:
-        return F.filter(matches(text, F.lit(PATTERNS[kind]), holds, KINDS.index(kind)), lambda s: valid(s["value"]))
+def with_base_spans(df: DataFrame) -> DataFrame:
+    """df (with a column text) and its column spans: the valid base spans of all kinds, by start, then kind."""
+    text = F.col("text")
+    holds = {
+        "email": F.contains(text, F.lit("@")),
+        "ip": text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
+        "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"),
+        "phone": F.contains(text, F.lit("+")),
+    }
+    for k in KINDS[:-1]:
+        df = with_matches(df, f"_{k}", F.lit(PATTERNS[k]), holds[k], KINDS.index(k))
 
     def digits(v):
         return F.length(F.regexp_replace(v, "[^0-9]", ""))
 
-    kinds = [
-        found("email", F.contains(text, F.lit("@")), lambda v: F.lit(True)),
-        found("ip", text.rlike(r"[0-9]\.[0-9]"), lambda v: v.rlike(IP)),
-        found("card", text.rlike(r"[0-9][\x20-]?[0-9]"), luhn),
-        found("phone", F.contains(text, F.lit("+")), lambda v: digits(v).between(10, 15)),
+    valid = [
+        F.col("_email"),
+        F.filter("_ip", lambda s: s["value"].rlike(IP)),
+        F.filter("_card", lambda s: luhn(s["value"])),
+        F.filter("_phone", lambda s: digits(s["value"]).between(10, 15)),
     ]
-    return F.array_sort(F.concat(*kinds))
+    return df.withColumn("spans", F.array_sort(F.concat(*valid))).drop(*(f"_{k}" for k in KINDS[:-1]))
 
 
-def _term_pairs(rows: DataFrame) -> DataFrame:
-    """(term, entity, contexts): lower-cased terms within WINDOW words of spans of an entity, with enough contexts."""
+def contexts() -> Column:
+    """Of a row's text and spans: array of (entity, words), the WINDOW words on either side of each span."""
     reach = 12 * WINDOW
-    one = rows.filter(F.size("spans") > 0).select("text", F.explode("spans").alias("s"), F.col("spans").alias("others"))
-    left = F.expr(f"substring(text, greatest(1, s.start - {reach} + 1), least(s.start, {reach}))")
-    right = F.expr(f"substring(text, s.end + 1, {reach})")
+    text = F.col("text")
 
-    def words(side, last):
-        w = F.regexp_extract_all(F.lower(side), F.lit(TERM), F.lit(0))
-        return F.slice(w, F.greatest(F.lit(1), F.size(w) - WINDOW + 1), F.lit(WINDOW)) if last else F.slice(w, 1, WINDOW)
+    def near(s):
+        left = F.substring(text, F.greatest(F.lit(1), s["start"] - reach + 1), F.least(s["start"], F.lit(reach)))
+        right = F.substring(text, s["end"] + 1, F.lit(reach))
+        before = F.regexp_extract_all(F.lower(left), F.lit(TERM), F.lit(0))
+        after = F.regexp_extract_all(F.lower(right), F.lit(TERM), F.lit(0))
+        return F.struct(F.lower(s["value"]).alias("entity"), F.concat(F.reverse(F.slice(F.reverse(before), 1, WINDOW)), F.slice(after, 1, WINDOW)).alias("words"))
 
-    near = one.select(F.lower("s.value").alias("entity"), words(left, True).alias("l"), words(right, False).alias("r"))
-    near = near.select("entity", F.xxhash64("l", "r").alias("context"), F.explode(F.array_distinct(F.concat("l", "r"))).alias("term"))
-    near = near.filter(~F.contains("entity", F.col("term")))
-    # Equal contexts count once: copies of a text are no evidence.
-    return near.distinct().groupBy("term", "entity").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= CONTEXTS)
+    return F.transform("spans", near)
 
 
-def revealing_terms(rows: DataFrame) -> DataFrame:
-    """(term): those over the disclosure thresholds, from rows (text, spans) of the whole corpus."""
-    pairs = save(_term_pairs(rows), "pii-pairs")
+def revealing_terms(facts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(term): those over the disclosure thresholds. facts: (near) of every row of the corpus; rows: its (text)."""
+    near = facts.filter(F.size("near") > 0).select(F.explode("near").alias("n")).select("n.entity", "n.words")
+    near = near.select("entity", F.xxhash64("words").alias("context"), F.explode(F.array_distinct("words")).alias("term"))
+    near = near.filter(~F.contains("entity", F.col("term")))
+    # Equal contexts count once: copies of a text are no evidence.
+    pairs = near.distinct().groupBy("term", "entity").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= CONTEXTS)
+    # A term is in at least as many documents as have it beside some entity, so pairs that miss the share there go at
+    # once; that rules out common words before the corpus is read for the rest.
+    beside = facts.filter(F.size("near") > 0).select(F.explode(F.array_distinct(F.flatten(F.transform("near", lambda n: n["words"])))).alias("term"))
+    beside = beside.groupBy("term").agg(F.count("*").alias("beside"))
+    pairs = save(pairs.join(beside, "term").filter(F.col("contexts") >= SHARE * F.col("beside")).select("term", "entity", "contexts"), "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("term")
-    terms = pairs.select("term").distinct()
+    terms = save(pairs.select("term").distinct(), "pii-candidates")
     # Counts cover all documents: of each candidate term, and of each candidate entity.
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    seen = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("documents"))
-    held = rows.filter(F.size("spans") > 0).select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"))
+    seen = words_of(rows).join(small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("documents"))
+    held = facts.filter(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity"))
     held = held.join(pairs.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("holders"))
-    total = rows.count()
+    total = facts.count()
     share = F.least(F.lit(1.0), F.col("contexts") / F.col("documents"))
     bits = F.log2(share / (F.col("holders") / F.lit(max(1, total))))
     return pairs.join(seen, "term").join(held, "entity").filter((share >= SHARE) & (bits >= BITS)).select("term").distinct()
 
 
+#: Rows of terms, or of texts with terms, that are broadcast; more are joined by a shuffle. A term has 64 characters.
+MOST_BROADCAST = 200_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if it is counted to be small enough."""
+    return F.broadcast(table) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else table
+
+
+def words_of(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep, then each different term of a row's text."""
+    return rows.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: id (or the columns of keep), base and spans (arrays of start, kind, end, value; code points, end exclusive), and
-    text with every span generalised if with_text.
+    """One row per input row: id (or the columns of keep), base and spans (arrays of start, kind, end, value; code
+    points, end exclusive), and text with every span generalised if with_text.
 
     Null text counts as empty and has no span. Spans are ordered by start, then kind. Where spans overlap, the text
     shows the mark of the first and drops the rest of the others. An empty table gives no rows.
@@ -129,37 +161,40 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     kept = [F.col(c).alias(f"_{c}") for c in keep if c != text_col] if keep else [F.col(id_col).alias("id")]
     rows = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = rows.columns[:-1]
-    base = rows.withColumn("spans", base_spans(F.col("text")))
-    terms = save(revealing_terms(base), "pii-terms")
+    found = with_base_spans(rows)
+    facts = save(found.select(*([] if with_text else names), "spans", contexts().alias("near")), "pii-facts")
+    terms = save(revealing_terms(facts, rows), "pii-terms")
     if terms.isEmpty():
-        out = base.withColumn("base", F.col("spans"))
+        out = (found if with_text else facts).withColumn("base", F.col("spans"))
     else:
         # Terms of each text: few words, as they are rare beside their entity. Only (text key, term) rows are shuffled.
-        keyed = base.withColumn("key", F.md5(F.col("text").cast("binary")))
-        words = keyed.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-        of = words.distinct().join(terms, "term").groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-        keyed = keyed.join(save(of, "pii-of"), "key", "left")
-        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.concat_ws("|", "terms"), F.lit(r")(?![\p{L}\p{N}])"))
-        holds = F.col("terms").isNotNull()
-        own = matches(F.col("text"), F.when(holds, pattern).otherwise(r"\A(?!\A)"), holds, KINDS.index("term"))
-        clear = F.filter(own, lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+        keyed = found.withColumn("_key", F.md5(F.col("text").cast("binary")))
+        hits = save(words_of(keyed.select("_key", "text"), "_key").join(small(terms), "term").distinct(), "pii-hits")
+        of = save(hits.groupBy("_key").agg(F.array_sort(F.collect_set("term")).alias("_terms")), "pii-of")
+        few = hits.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        keyed = keyed.join(F.broadcast(of) if few else of, "_key", "left")
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.concat_ws("|", "_terms"), F.lit(r")(?![\p{L}\p{N}])"))
+        holds = F.col("_terms").isNotNull()
+        keyed = keyed.withColumn("_pattern", F.when(holds, pattern).otherwise(r"\A(?!\A)"))
+        keyed = with_matches(keyed, "_term", F.col("_pattern"), holds, KINDS.index("term"))
+        clear = F.filter("_term", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
         out = keyed.select(*names, "text", F.array_sort(F.concat("spans", clear)).alias("spans"), F.col("spans").alias("base"))
-    names = [F.col(n).alias(n.removeprefix("_")) for n in names]
-    return out.select(*names, "base", "spans", *([generalised(F.col("text"), F.col("spans")).alias("text")] if with_text else []))
+    shown = [F.col(n).alias(n.removeprefix("_")) for n in names]
+    if not with_text:
+        return out.select(*shown, "base", "spans")
+    return with_generalised(out).select(*shown, "base", "spans", F.col("_new").alias("text"))
 
 
-def generalised(text: Column, spans: Column) -> Column:
-    """The text with its spans replaced by the marks of their kinds."""
+def with_generalised(df: DataFrame) -> DataFrame:
+    """df with _new: its text, with its spans replaced by the marks of their kinds."""
     marks = F.array(*(F.lit(MARKS[k]) for k in KINDS))
+    text, spans = F.col("text"), F.col("spans")
+    df = df.withColumn("_all_ends", F.transform(spans, lambda s: s["end"]))
     # The furthest end of the spans before each one: what lies between it and the start is kept.
-    before = prefixes(F.transform(spans, lambda s: s["end"]), lambda a, v: F.greatest(a, v))
-    pieces = F.zip_with(
-        spans,
-        before,
-        lambda s, e: F.when(s["start"] >= e, F.concat(F.substring(text, e + 1, s["start"] - e), marks[s["kind"]])).otherwise(""),
-    )
-    last = F.array_max(F.transform(spans, lambda s: s["end"]))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text))))
+    df = with_prefixes(df, "_all_ends", "_reach", lambda a, v: F.greatest(a, v))
+    pieces = F.zip_with(spans, "_reach", lambda s, e: F.when(s["start"] >= e, F.concat(F.substring(text, e + 1, s["start"] - e), marks[s["kind"]])).otherwise(""))
+    whole = F.concat(F.array_join(pieces, ""), F.substring(text, F.array_max("_all_ends") + 1, F.length(text)))
+    return df.withColumn("_new", F.when(F.size(spans) == 0, text).otherwise(whole)).drop("_all_ends", "_reach")
 
 
 def listed(spans: Column) -> Column:
