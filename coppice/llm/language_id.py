@@ -17,7 +17,7 @@ from .common import crc_mod, prepare
 #: Buckets of hashed n-grams, for n-grams of one to three characters.
 SIZE, ORDERS = 1 << 12, (1, 2, 3)
 #: Bound of the labelled sample: documents in all, dealt evenly to the languages. Each counts with its whole text.
-SAMPLE = 4000
+SAMPLE = 2500
 #: Families of closely related languages by ISO 639-1 code. Other languages are each their own family.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nl", "no", "nb", "nn", "sv"),
@@ -70,26 +70,28 @@ def _letters(c: np.ndarray) -> np.ndarray:
     return _table[c]
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, epochs: int = 40, seed: int = 7) -> np.ndarray:
-    """Linear support vector machine by dual coordinate descent; y is +1 or -1. Classes weigh the same in all.
-    The last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    n = len(x)
+def train_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 20.0, epochs: int = 40, seed: int = 7) -> np.ndarray:
+    """Linear support vector machine on the given rows of x, by dual coordinate descent; y is +1 or -1. Classes weigh
+    the same in all. The last weight is the bias. x is read a row at a time and never copied."""
+    n = len(rows)
     cap = np.where(y > 0, c * n / (2 * max(1, (y > 0).sum())), c * n / (2 * max(1, (y < 0).sum())))
-    a, w, q = np.zeros(n), np.zeros(x.shape[1]), (x * x).sum(1)
+    a, w, bias = np.zeros(n), np.zeros(x.shape[1]), 0.0
+    q = np.array([float(x[r] @ x[r]) + 1.0 for r in rows])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(n):
-            g = y[i] * (x[i] @ w) - 1
+            row = x[rows[i]]
+            g = y[i] * (row @ w + bias) - 1
             new = min(max(a[i] - g / q[i], 0.0), cap[i])
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                w += ((new - a[i]) * y[i]) * row
+                bias += (new - a[i]) * y[i]
                 moved = max(moved, abs(new - a[i]))
                 a[i] = new
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 def train(x: np.ndarray, langs: list[str]) -> dict:
@@ -101,13 +103,13 @@ def train(x: np.ndarray, langs: list[str]) -> dict:
     weights, kinds = [], []
     for f in families:
         if len(families) > 1:
-            weights.append(train_svm(x, np.where(member == f, 1.0, -1.0)))
+            weights.append(train_svm(x, np.arange(len(x)), np.where(member == f, 1.0, -1.0)))
             kinds.append((f, None))
     for own in families.values():
         for i, a in enumerate(own):
             for b in own[i + 1 :]:
-                at = (langs == a) | (langs == b)
-                weights.append(train_svm(x[at], np.where(langs[at] == a, 1.0, -1.0)))
+                at = np.flatnonzero((langs == a) | (langs == b))
+                weights.append(train_svm(x, at, np.where(langs[at] == a, 1.0, -1.0)))
                 kinds.append((a, b))
     return {"families": families, "kinds": kinds, "weights": np.array(weights).reshape(len(weights), SIZE + 1)}
 
@@ -142,7 +144,7 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, most: int = SAMPLE) ->
     langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().filter(F.col("lang").isin(langs)).collect()} if langs else {}
     if not langs:
-        return np.zeros((0, SIZE)), []
+        return np.zeros((0, SIZE), np.float32), []
     each = max(1, most // len(langs))
     share = F.coalesce(*(F.when(F.col("lang") == n, F.lit(min(1.0, 1.1 * each / counts[n]))) for n in langs))
     drawn = (F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) / (1 << 20)) < share
@@ -153,9 +155,13 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, most: int = SAMPLE) ->
             yield pa.record_batch([b.column("lang"), pa.array([None if v is None else v.astype(np.float32).tobytes() for v in x], pa.binary())], ["lang", "x"])
 
     got = rows.filter(drawn).dropDuplicates(["text", "lang"]).mapInArrow(run, "lang string, x binary").filter("x is not null").limit(2 * most).toArrow()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, SIZE).astype(np.float64)
-    order = np.lexsort((x[:, 0], np.array(got["lang"].to_pylist(), dtype=str))) if len(x) else np.zeros(0, int)
-    return x[order], [got["lang"][int(i)].as_py() for i in order]
+    names = got["lang"].to_pylist()
+    x = np.zeros((len(names), SIZE), np.float32)
+    for i, v in enumerate(got["x"]):
+        x[i] = np.frombuffer(v.as_buffer(), np.float32)
+    # Rows come in any order; training must not depend on it.
+    order = sorted(range(len(names)), key=lambda i: (names[i], x[i, :64].tobytes()))
+    return x[order], [names[i] for i in order]
 
 
 def identify_language(docs: DataFrame, model: dict, keep: list, text_col: str = "text") -> DataFrame:
