@@ -16,17 +16,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calibration import apply_logistic, fit_logistic
-from .common import crc_mod, kept_in_worker, prepare, sample_labels
+from .common import crc_mod, kept_in_worker, prepare, sample_labels, save
 
 #: Characters of the longest n-gram; absolute discount; least labelled documents for a class n-gram of its own.
 ORDER, DISCOUNT, RARE = 6, 0.75, 4
-#: Bound of what is collected and broadcast: n-grams, first those of toxic rows, then the most frequent in the corpus.
-#: N-grams beyond it are smoothed from shorter ones, as rare expressions are.
-MOST_GRAMS = 400_000
 #: Bound of the labelled rows the class models (four fifths) and the calibration (one fifth) are fitted on. The shared
 #: backoff counts cover all documents.
 SAMPLE = 100_000
@@ -51,51 +48,123 @@ def grams(piece: str) -> list[str]:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(text, label: 0, 1 or null) -> (gram, toxic, ordinary, seen): documents, per word, that hold it, by class and in all."""
+    """(text, label: 0 or 1) -> (gram, toxic, ordinary): documents, per word, that hold it, by class."""
 
     def run(batches):
-        toxic, ordinary, seen = Counter(), Counter(), Counter()
+        tallies = Counter(), Counter()
 
         def flush():
             total: dict[str, list[int]] = {}
-            for word, n in seen.items():
-                t, o = toxic.get(word, 0), ordinary.get(word, 0)
-                for piece in spelled(word):
-                    for i in range(1, len(piece)):
-                        g = piece[max(0, i - ORDER + 1) : i + 1]
-                        row = total.get(g)
-                        if row is None:
-                            total[g] = [t, o, n]
-                        else:
-                            row[2] += n
-                            if t:
-                                row[0] += t
-                            if o:
-                                row[1] += o
-            for tally in (toxic, ordinary, seen):
+            for k, tally in enumerate(tallies):
+                for word, n in tally.items():
+                    for piece in spelled(word):
+                        for g in grams(piece):
+                            total.setdefault(g, [0, 0])[k] += n
                 tally.clear()
             names = list(total)
             for lo in range(0, len(names), 20_000):
                 part = names[lo : lo + 20_000]
                 columns = np.array([total[g] for g in part], dtype=np.int64)
-                yield pa.record_batch([pa.array(part), *(pa.array(columns[:, k]) for k in range(3))], ["gram", "toxic", "ordinary", "seen"])
+                yield pa.record_batch([pa.array(part), pa.array(columns[:, 1]), pa.array(columns[:, 0])], ["gram", "toxic", "ordinary"])
 
         for b in batches:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                words = set(words_of(text))
-                if label is not None:
-                    (toxic if label else ordinary).update(words)
-                seen.update(words)
+                tallies[bool(label)].update(set(words_of(text)))
+            if sum(map(len, tallies)) > 600_000:
+                yield from flush()
+        yield from flush()
+
+    counts = docs.mapInArrow(run, "gram string, toxic long, ordinary long")
+    return counts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def count_types(docs: DataFrame, histories: DataFrame) -> DataFrame:
+    """(gram, types): of each n-gram below the highest order, the different characters that precede it in all words of
+    docs (text). Only n-grams that continue one of histories (history), but all of those; with a history its own
+    endings must be there too."""
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(histories.toArrow()["history"].to_pylist()))
+
+    def run(batches):
+        known, seen, found = shared.value, set(), set()
+
+        def flush():
+            names = list(found)
+            for lo in range(0, len(names), 20_000):
+                yield pa.record_batch([pa.array(names[lo : lo + 20_000], pa.string())], ["gram"])
+            found.clear()
+
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                new = set(words_of(text)) - seen
+                seen |= new
+                for word in new:
+                    for piece in spelled(word):
+                        for i in range(1, len(piece)):
+                            # The longest one only: the others are its endings.
+                            start, least = i, max(1, i - ORDER + 2)
+                            while start > least and piece[start - 1 : i] in known:
+                                start -= 1
+                            found.add(piece[start - 1 : i + 1])
             if len(seen) > 600_000:
+                seen.clear()
+            if len(found) > 600_000:
                 yield from flush()
         yield from flush()
 
-    counts = docs.mapInArrow(run, "gram string, toxic long, ordinary long, seen long")
-    return counts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary", "seen")))
+    found = docs.select("text").mapInArrow(run, "gram string").distinct()
+    endings = F.transform(F.sequence(F.lit(1), F.length("gram") - 1), lambda i: F.substring("gram", i, F.lit(ORDER)))
+    kinds = found.select(F.explode(endings).alias("gram")).distinct()
+    return kinds.groupBy(F.substring("gram", F.lit(2), F.lit(ORDER)).alias("gram")).agg(F.count("*").alias("types"))
+
+
+def shared_backoff(types: DataFrame) -> DataFrame:
+    """(gram, types) -> (gram, p): Model.shared of every n-gram."""
+    gram = F.col("gram")
+    among = Window.partitionBy(F.substring(gram, F.lit(1), F.length(gram) - 1))
+    steps = types.select("gram", "types", F.sum("types").over(among).alias("follow"), F.count("*").over(among).alias("branch"))
+    steps = save(steps.withColumn("n", F.length(gram)), "toxicity-steps")
+    mixed = (F.greatest(F.col("types") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("branch") * F.col("back")) / F.col("follow")
+    level = save(steps.filter("n = 1").withColumn("back", 1 / (F.col("branch") + 1000)).select("gram", mixed.alias("p")), "toxicity-shared")
+    out = level
+    for n in range(2, ORDER):
+        below = level.select(F.col("gram").alias("suffix"), F.col("p").alias("back"))
+        own = steps.filter(F.col("n") == n).withColumn("suffix", F.substring(gram, F.lit(2), F.lit(ORDER)))
+        level = save(own.join(below, "suffix").select("gram", mixed.alias("p")), "toxicity-shared")
+        out = out.union(level)
+    return out
+
+
+def gram_ratios(labelled: DataFrame, docs: DataFrame) -> DataFrame:
+    """(gram, seen, ratio): Model.ratio of the n-grams that a class has counted (seen), and of those that no class has,
+    by their history (not seen): the backoff then cancels out. A history not listed is one of ratio 0.
+
+    labelled: (text, label), which the size of the result depends on; docs: (text), whose words all count in the backoff.
+    """
+    classes = ("toxic", "ordinary")
+    gram = F.col("gram")
+    counts = save(count_grams(labelled).filter(F.col("toxic") + F.col("ordinary") >= RARE).withColumn("history", F.substring(gram, F.lit(1), F.length(gram) - 1)), "toxicity-grams")
+    sums = [F.sum(c).alias(f"{c}_sum") for c in classes] + [F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in classes]
+    known = save(counts.groupBy("history").agg(*sums), "toxicity-histories")
+    # The histories that the backoff of these n-grams passes through: inner parts that end before the last character.
+    inner = F.transform(F.sequence(F.lit(2), F.length(gram)), lambda i: F.substring(gram, i, F.length(gram) - i))
+    shared = shared_backoff(count_types(docs, counts.select(F.explode(inner).alias("history")).distinct()))
+
+    def ratio(own, back):
+        def p(c):
+            mixed = (F.greatest(own(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{c}_kinds") * back) / F.col(f"{c}_sum")
+            return F.when(F.col(f"{c}_sum") > 0, mixed).otherwise(back)
+
+        return F.log(p("toxic") / p("ordinary"))
+
+    rows = counts.join(known, "history").withColumn("suffix", F.substring(gram, F.lit(2), F.lit(ORDER)))
+    rows = rows.join(shared.select(F.col("gram").alias("suffix"), F.col("p").alias("back")), "suffix")
+    found = rows.select("gram", F.lit(True).alias("seen"), ratio(F.col, F.col("back")).alias("ratio"))
+    return found.union(known.select("history", F.lit(False), ratio(lambda c: F.lit(0), F.lit(1.0))))
 
 
 class Model:
-    """The two classes' models over a shared backoff. Built from (gram, toxic, ordinary, seen) rows."""
+    """The two classes' models over a shared backoff, in memory: what gram_ratios() computes by joins. Built from
+    (gram, toxic, ordinary, seen) rows."""
 
     def __init__(self, rows: list[tuple[str, int, int, int]]):
         self.own = ({}, {})
@@ -173,10 +242,21 @@ def document_features(scores: np.ndarray) -> np.ndarray:
 
 
 class Evidence:
-    """A model with the evidence of the words and the ratios of the n-grams it has met, a bounded number of either."""
+    """The evidence of words from the ratios of their n-grams, and of a bounded number of words met.
+    ratios: of n-grams that a class has counted, and by history of all others."""
 
-    def __init__(self, model: Model):
-        self.model, self.known, self.ratios = model, {}, {}
+    def __init__(self, ratios: tuple[dict[str, float], dict[str, float]]):
+        self.own, self.other = ratios
+        self.known: dict[str, float] = {}
+
+    def evidence(self, word: str) -> float:
+        total = length = 0
+        for piece in spelled(word):
+            length += len(piece) - 1
+            for g in grams(piece):
+                r = self.own.get(g)
+                total += self.other.get(g[:-1], 0.0) if r is None else r
+        return total / max(1, length)
 
     def __call__(self, words: list[str]) -> list[float]:
         known = self.known
@@ -185,14 +265,21 @@ class Evidence:
         except KeyError:
             if len(known) > 400_000:
                 known.clear()
-            if len(self.ratios) > 600_000:
-                self.ratios.clear()
             for w in words:
                 if w not in known:
-                    known[w] = self.model.evidence(w, self.ratios)
+                    known[w] = self.evidence(w)
             return [known[w] for w in words]
 
 
+def collected(ratios: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """gram_ratios() as Evidence takes it."""
+    out: tuple[dict[str, float], dict[str, float]] = {}, {}
+    for b in ratios.toArrow().to_batches():
+        for g, seen, r in zip(b.column("gram").to_pylist(), b.column("seen").to_pylist(), b.column("ratio").to_pylist(), strict=True):
+            out[not seen][g] = r
+    return out
+
+
 def _scored(shared, weights, names):
     key = uuid.uuid4().hex
 
@@ -214,7 +301,7 @@ def _scored(shared, weights, names):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, dict]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[tuple[dict, dict], dict]:
     """Class counts from four fifths of the sampled labels, shared counts from all documents; the calibration from the
     rest of the sample. Without labelled rows of both classes all scores are the smoothed share of toxic rows."""
     spark = docs.sparkSession
@@ -222,9 +309,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = sample_labels(labels, id_col, label_col, SAMPLE)
     tune = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0
     every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    counts = count_grams(every.join(F.broadcast(known.filter(~tune)), "id", "left").select("text", "label"))
-    used = counts.filter("seen > 1").orderBy(F.desc(F.col("toxic") >= RARE), F.desc("seen"), "gram").limit(MOST_GRAMS)
-    model = Model([tuple(r) for r in used.toPandas().itertuples(index=False)])
+    labelled = every.join(F.broadcast(known.filter(~tune)), "id").select("text", "label")
+    model = collected(gram_ratios(labelled, every))
     part = every.join(F.broadcast(known.filter(tune)), "id").select("id", "label", F.col("text").alias("_text"))
     shared = spark.sparkContext.broadcast(model)
     got = part.mapInArrow(_scored(shared, None, ["id", "label"]), "id long, label int, features array<double>").toPandas().sort_values("id")
@@ -232,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model, fit_logistic(x, got["label"].to_numpy().astype(float))
 
 
-def score_toxicity(docs: DataFrame, model: tuple[Model, dict], keep: list, text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: tuple[tuple[dict, dict], dict], keep: list, text_col: str = "text") -> DataFrame:
     """The columns `keep` (expressions) of each row, and score in 0..1.
 
     Null texts and those without a word get the score of no evidence. Texts are read whole. No rows for an empty table.

@@ -239,6 +239,27 @@ def test_kneser_ney_prefers_toxic_words():
     assert sum(model.shared("id" + c) for c in "abcdefghijklmnopqrstuvwxyz") <= 1 + 1e-9
 
 
+def test_toxic_ratios_count_every_word_of_the_corpus(spark):
+    """Words seen once, in no labelled row, take part in the backoff: the joins agree with the model in memory."""
+    rnd = random.Random(8)
+    texts = [(" ".join("".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 9))) for _ in range(12)) + (" idiot" if i % 2 else ""), i % 2 if i < 60 else None) for i in range(120)]
+    texts += [("x" * 100, 1), ("unique once idiom", None), (None, 0)]
+    rows = {}
+    for text, label in texts:
+        for word in set(toxicity.words_of(text)):
+            for piece in toxicity.spelled(word):
+                for g in toxicity.grams(piece):
+                    t, o, n = rows.get(g, (0, 0, 0))
+                    rows[g] = (t + (label == 1), o + (label == 0), n + 1)
+    model = toxicity.Model([(g, *r) for g, r in rows.items()])
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, label int")
+    evidence = toxicity.Evidence(toxicity.collected(toxicity.gram_ratios(docs.filter("label is not null"), docs)))
+    words = {w for text, _ in texts for w in toxicity.words_of(text)} | {"unseen", "idiots"}
+    assert evidence(["idiot"])[0] > 0.3
+    for w in words:
+        assert evidence([w])[0] == pytest.approx(model.evidence(w, {}), abs=1e-9), w
+
+
 def test_url_rules_segments_and_bayes(spark):
     urls = ["https://a.org/x", "http://A.Example.ORG/es/1?q", "https://example.org/en/12", "http://x.com/fr/", "http://x.com/frx", "ftp://com/de/1#f", "no url", None, "://", "http://a.org", "x://y://z/p", "http://notorg/x"]
     df = spark.createDataFrame([(i, u, f"<p>casino win the {i}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string").withColumn("score", F.lit(1)).withColumn("host", F.lit(1))
