@@ -132,6 +132,13 @@ def test_revealing_terms_are_removed(spark):
     assert out[100]["text"] == rows[8][1] and out[900]["text"] == "copied text beside [EMAIL] stays whole"
 
 
+def test_copies_do_not_hide_a_revealing_term(spark):
+    rows = [(i, f"line{i} zorbly sits near bob@corp.com all day number{i}", "a") for i in range(6)]
+    rows += [(50 + i, rows[0][1], "a") for i in range(50)] + [(200 + i, f"common sits near words all day {i}", "a") for i in range(900)]
+    out = {r["id"]: r for r in pii.find_pii(documents(spark, rows), with_text=True).collect()}
+    assert out[0]["text"] == out[60]["text"] == "line0 [TERM] sits near [EMAIL] all day number0"
+
+
 def test_overlapping_spans_are_generalised_once(spark):
     df = documents(spark, [(1, "to +1.2.3.4.5.6.7.8.9.10@x.yz now", "a")])
     text = pii.find_pii(df, with_text=True).first()["text"]
