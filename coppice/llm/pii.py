@@ -98,10 +98,24 @@ def with_base_spans(df: DataFrame) -> DataFrame:
     return df.withColumn("spans", F.array_sort(F.concat(*valid))).drop(*(f"_{k}" for k in KINDS[:-1]))
 
 
+def with_plain(df: DataFrame) -> DataFrame:
+    """df with _plain: its text, with as many blanks in the place of each span, so that no piece of one is a word."""
+    text, spans = F.col("text"), F.col("spans")
+    df = df.withColumn("_all_ends", F.transform(spans, lambda s: s["end"]))
+    df = with_prefixes(df, "_all_ends", "_reach", lambda a, v: F.greatest(a, v))
+
+    def piece(s, e):
+        between = F.substring(text, e + 1, F.greatest(F.lit(0), s["start"] - e))
+        return F.concat(between, F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], e))))
+
+    whole = F.concat(F.array_join(F.zip_with(spans, "_reach", piece), ""), F.substring(text, F.array_max("_all_ends") + 1, F.length(text)))
+    return df.withColumn("_plain", F.when(F.size(spans) == 0, text).otherwise(whole)).drop("_all_ends", "_reach")
+
+
 def contexts() -> Column:
-    """Of a row's text and spans: array of (entity, words), the WINDOW words on either side of each span."""
+    """Of a row's _plain and spans: array of (entity, words), the WINDOW words on either side of each span."""
     reach = 12 * WINDOW
-    text = F.col("text")
+    text = F.col("_plain")
 
     def near(s):
         left = F.substring(text, F.greatest(F.lit(1), s["start"] - reach + 1), F.least(s["start"], F.lit(reach)))
@@ -119,7 +133,6 @@ def revealing_terms(facts: DataFrame, rows: DataFrame) -> DataFrame:
     beside = facts.filter(F.size("near") > 0).dropDuplicates(["text_key"])
     near = beside.select("text_key", F.explode("near").alias("n")).select("text_key", "n.entity", "n.words")
     near = near.select("text_key", "entity", F.xxhash64("words").alias("context"), F.explode(F.array_distinct("words")).alias("term"))
-    near = near.filter(~F.contains("entity", F.col("term")))
     pairs = near.groupBy("term", "entity", "context", "text_key").agg(F.lit(1)).groupBy("term", "entity")
     pairs = pairs.agg(F.countDistinct("context").alias("contexts"), F.countDistinct("text_key").alias("texts")).filter(F.col("contexts") >= CONTEXTS)
     # A term is in at least as many texts as have it beside some entity, so pairs that miss the share there go at
@@ -167,7 +180,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     rows = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     names = rows.columns[:-1]
     found = with_base_spans(rows)
-    facts = save(found.select(*([] if with_text else names), "spans", contexts().alias("near"), F.md5(F.col("text").cast("binary")).alias("text_key")), "pii-facts")
+    facts = save(with_plain(found).select(*([] if with_text else names), "spans", contexts().alias("near"), F.md5(F.col("text").cast("binary")).alias("text_key")), "pii-facts")
     terms = save(revealing_terms(facts, rows), "pii-terms")
     if terms.isEmpty():
         out = (found if with_text else facts).withColumn("base", F.col("spans"))

@@ -139,6 +139,15 @@ def test_copies_do_not_hide_a_revealing_term(spark):
     assert out[0]["text"] == out[60]["text"] == "line0 [TERM] sits near [EMAIL] all day number0"
 
 
+def test_terms_within_the_entity_are_removed(spark):
+    rows = [(i, f"line{i} smith wrote from alice.smith@corp.com and joe@corp.com on number{i}", "a") for i in range(6)]
+    rows += [(200 + i, f"common wrote from words and on {i}", "a") for i in range(900)]
+    out = {r["id"]: r for r in pii.find_pii(documents(spark, rows), with_text=True).collect()}
+    assert out[0]["text"] == "line0 [TERM] wrote from [EMAIL] and [EMAIL] on number0"
+    plain = pii.with_plain(pii.with_base_spans(documents(spark, [(1, "é to +1.2.3.4.5.6.7.8.9.10@x.yz now", "a")]))).first()
+    assert plain["_plain"] == "é to" + " " * 28 + "now"
+
+
 def test_overlapping_spans_are_generalised_once(spark):
     df = documents(spark, [(1, "to +1.2.3.4.5.6.7.8.9.10@x.yz now", "a")])
     text = pii.find_pii(df, with_text=True).first()["text"]
