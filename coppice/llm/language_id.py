@@ -141,8 +141,10 @@ def _sigmoid(m: float) -> float:
 def sample(docs: DataFrame, text_col: str, lang_col: str, most: int = SAMPLE) -> tuple[np.ndarray, list[str]]:
     """Features and languages of at most `most` labelled rows, the same number at most of each language."""
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null")
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().filter(F.col("lang").isin(langs)).collect()} if langs else {}
+    # Different texts with a letter are counted, as they are what is drawn: copies do not thin out a language.
+    texts = rows.filter(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("text")).distinct()
+    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
+    langs = list(counts)
     if not langs:
         return np.zeros((0, SIZE), np.float32), []
     each = max(1, most // len(langs))

@@ -299,6 +299,12 @@ def test_url_rules_segments_and_bayes(spark):
     assert segment("casinowin") == ["casino", "win"] and segment("thexq") == ["the", "xq"] and segment("") == []
 
 
+def test_language_sample_is_not_thinned_by_copies(spark):
+    rows = [(f"text {'abcdefghij'[i % 10] * (i // 10 + 1)}", "en") for i in range(100)] + [("one copied text", "en")] * 9900 + [(f"{i}", "en") for i in range(5000)]
+    x, langs = language_id.sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 60)
+    assert len(langs) > 40
+
+
 def test_odd_rows_keep_a_result_each(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (6, None, None)], "doc_id long, quality int, toxic int")
     keep = [odd["doc_id"]]
