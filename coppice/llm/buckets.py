@@ -2,7 +2,8 @@
 
 An item belongs to several buckets. A pair counts in exactly one of them: the smallest bucket that both share, so
 each task can add up its own links and the sums over tasks count every pair once. Buckets over a size limit are cut
-into blocks; every pair of blocks is a task of bounded size, so a hot bucket spreads over many tasks.
+into blocks; every pair of blocks is a task of bounded size, so a hot bucket spreads over many tasks. Items have a
+weight, by the memory they take, so that a block holds fewer of the large ones.
 """
 
 from __future__ import annotations
@@ -12,16 +13,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, save
+from .common import grouped, join_hot, release, save
 
-#: Members of one block; a task holds two blocks at most.
+#: Weight of one block; a task holds two blocks at most.
 BLOCK = 512
 TASK = ["bucket", "bi", "bj"]
+#: Buckets compared at once in pairs_of.
+COLUMNS = 2048
 
 
 def live_buckets(entries: DataFrame) -> DataFrame:
-    """Buckets of two or more members: (bucket, members)."""
-    return entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    """(bucket, item, weight) -> buckets of two or more members: (bucket, load), their weight."""
+    return entries.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("weight").alias("load")).filter("members > 1").drop("members")
 
 
 def leaves_of(live: DataFrame) -> DataFrame:
@@ -30,8 +33,8 @@ def leaves_of(live: DataFrame) -> DataFrame:
 
 
 def tasks_of(live: DataFrame) -> DataFrame:
-    """(bucket, members, item) -> one row for each task that must see the item: (bucket, bi, bj, blk, item)."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    """(bucket, load, item) -> one row for each task that must see the item: (bucket, bi, bj, blk, item)."""
+    blocks = F.ceil(F.col("load") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("item", "bucket"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     return (
@@ -41,18 +44,22 @@ def tasks_of(live: DataFrame) -> DataFrame:
     )
 
 
-def pairs_of(bucket: int, bi: int, bj: int, blk: np.ndarray, leaves: list) -> np.ndarray:
+def pairs_of(bucket: int, bi: int, bj: int, blk: np.ndarray, leaves: pa.ChunkedArray) -> np.ndarray:
     """Of a task: matrix of the pairs (row before column) for which this bucket is the first that both share."""
     n = len(blk)
     ok = np.triu(np.ones((n, n), bool), 1) if bi == bj else (blk[:, None] == bi) & (blk[None, :] == bj)
-    sizes = [len(x) for x in leaves]
-    flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in leaves])
-    owner = np.repeat(np.arange(n), sizes)
+    leaves = leaves.combine_chunks()
+    flat = leaves.flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(n), leaves.value_lengths().to_numpy(zero_copy_only=False))
     before = flat < bucket
-    if before.any():
-        values, column = np.unique(flat[before], return_inverse=True)
-        seen = np.zeros((n, len(values)), np.float32)
-        seen[owner[before], column] = 1
+    values, column, times = np.unique(flat[before], return_inverse=True, return_counts=True)
+    # Only a bucket that two members share rules pairs out; the matrix is made some columns at a time.
+    use, place = times[column] > 1, np.cumsum(times > 1) - 1
+    column, owner = place[column[use]], owner[before][use]
+    for lo in range(0, int((times > 1).sum()), COLUMNS):
+        at = (column >= lo) & (column < lo + COLUMNS)
+        seen = np.zeros((n, COLUMNS), np.float32)
+        seen[owner[at], column[at] - lo] = 1
         ok &= (seen @ seen.T) == 0
     return ok
 
@@ -97,14 +104,46 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """
     edges = edges.filter("a <> b").select("a", "b")
     both = save(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("l")), f"{name}-labels")
+    labels = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    labels = save(labels.select("a", F.least("a", "m").alias("l"), "n"), f"{name}-labels")
     total = None
     while True:
         new = labels.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
         if new == total:
+            release(both)
             return labels.select(F.col("a").alias("item"), F.col("l").alias("component"))
         total = new
-        near = both.join(labels.select(F.col("a").alias("b"), F.col("l").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("m"))
-        step = save(labels.join(near, "a").select("a", F.least("l", "m").alias("l")), f"{name}-step")
-        up = step.select(F.col("a").alias("l"), F.col("l").alias("up"))
-        labels = save(step.join(up, "l", "left").select("a", F.least("l", F.coalesce("up", "l")).alias("l")), f"{name}-labels")
+        # Items of many edges, and labels that many items have, go to all tasks.
+        ends = labels.select(F.col("a").alias("b"), F.col("l").alias("lb"), "n")
+        near = join_hot(both, ends, ["b"], "n", "inner").groupBy("a").agg(F.min("lb").alias("m"))
+        step = save(labels.join(near, "a").select("a", F.least("l", "m").alias("l"), "n"), f"{name}-step")
+        shares = step.groupBy("l").agg(F.count("*").alias("have"))
+        up = step.select(F.col("a").alias("l"), F.col("l").alias("up")).join(shares, "l")
+        fresh = save(join_hot(step, up, ["l"], "have").select("a", F.least("l", F.coalesce("up", "l")).alias("l"), "n"), f"{name}-labels")
+        release(labels, step)
+        labels = fresh
+
+
+def resolved(rows: DataFrame, classes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """rows (id, key) with what links say of them: (id, key, item, least, n_links, component_id, chosen).
+
+    classes: (item, key, least, size), one for each content, of a row number, the content's key, its least id (null if
+    no row of it has one) and its rows. found: (item, links, root) of run_tasks(). A class is known by its number,
+    never by an id, which may stand for several contents. component_id is the least id of the component, null if it
+    has none. chosen: the class is its component's first by least id (nulls last), then key. Rows of null key, or of
+    a key without a class, get null item and no link.
+    """
+    linked = components(found.select(F.col("item").alias("a"), F.col("root").alias("b")), name)
+    links = found.groupBy("item").agg(F.sum("links").alias("links"))
+    members = save(linked.join(classes.select("item", "key", "least"), "item"), f"{name}-members")
+    firsts = members.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("first"), F.count("*").alias("n"))
+    of = join_hot(members.select("item", "component"), save(firsts, f"{name}-firsts"), ["component"], "n").select("item", "first")
+    totals = save(classes.join(links, "item", "left").join(of, "item", "left"), f"{name}-totals")
+    out = join_hot(rows, totals, ["key"], "size")
+    alone = F.col("first").isNull()
+    return out.select(
+        "id", "key", "item", "least",
+        (F.coalesce("links", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).cast("long").alias("n_links"),
+        F.when(~alone, F.col("first.least")).when(F.col("item").isNotNull(), F.col("least")).otherwise(F.col("id")).alias("component_id"),
+        (alone | (F.col("first.key") == F.col("key"))).alias("chosen"),
+    )

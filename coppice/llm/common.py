@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import types
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 # Executors get these functions by value, so a cluster needs no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
-#: Rows in one Arrow batch; texts of 100 kB and more then stay within a worker's memory.
-BATCH_ROWS = 1000
+#: Bounds of one Arrow batch, so that a worker's memory holds however long the texts are (a single row may exceed them).
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+#: Keys of more than one in so many rows are hot; there are no more of them than this.
+HOT = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers receive."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the Arrow batches that Python workers receive, by rows and bytes. Settings the session has made stay."""
+    given = spark.conf.getAll
+    for name, value in BATCH.items():
+        if name not in given:
+            spark.conf.set(name, value)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only in local mode (tests) may it be unset: a new temporary
+    folder then serves."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="coppice-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -48,11 +57,45 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as a Parquet table in the shared folder and read it again. Removed when Python exits."""
+    """Cut lineage: write df as a Parquet table in the shared folder and read it again. Removed by release(), or when
+    Python exits."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_as = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of save() that nothing will read any more."""
+    for t in tables:
+        _drop(t.sparkSession, t.saved_as)
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, how: str = "left") -> DataFrame:
+    """rows joined with facts, which has one row for each value of the keys and in `size` how many of rows have it.
+
+    No task gets all rows of a hot key: keys that more than one in HOT of all rows have, at most HOT of them, are
+    broadcast. Rows with a null among the keys meet nothing, and are kept where `how` is left.
+    """
+    top, total = facts.agg(F.max(size), F.sum(size)).first()
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    rest = rows.filter(whole)
+    least = max(1000, (total or 0) // HOT)
+    out = None
+    if (top or 0) > least:
+        hot = F.broadcast(facts.filter(F.col(size) > least))
+        out = rest.join(hot, keys)
+        rest = rest.join(hot.select(keys), keys, "left_anti")
+        facts = facts.filter(F.col(size) <= least)
+    cold = rest.join(facts.hint("merge"), keys, how)
+    out = cold if out is None else cold.unionByName(out)
+    if how == "left":
+        out = out.unionByName(rows.filter(~whole), allowMissingColumns=True)
+    return out
 
 
 def crc_mod(column: str, n: int):
@@ -61,13 +104,15 @@ def crc_mod(column: str, n: int):
 
 
 def sample_labels(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """(id, label int) of at most `most` labelled ids, drawn by hash: small enough to broadcast. Null ids and labels
-    are left out; an id with several labels has the largest."""
+    """(id, label int) of at most `most` labelled ids, drawn by hash, the same in every run: small enough to broadcast.
+    Null ids and labels are left out; an id with several labels has the largest."""
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
-    share = 0.98 * most / max(1, rows.count())
+    rows = rows.groupBy("id").agg(F.max("label").alias("label"))
+    share = 1.05 * most / max(1, rows.count())
+    draw = F.xxhash64("id", F.lit(23))
     if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return rows.groupBy("id").agg(F.max("label").alias("label")).limit(most)
+        rows = rows.filter(F.pmod(draw, F.lit(1 << 30)) < int(share * (1 << 30)))
+    return rows.orderBy(F.pmod(draw, F.lit(1 << 30)), "id").limit(most)
 
 
 def kept_in_worker(key: str, make):

@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import LINKS, components, leaves_of, live_buckets, pairs_of, run_tasks, tasks_of, totals_of
-from .common import mix64, prepare, save
+from .buckets import LINKS, leaves_of, live_buckets, pairs_of, resolved, run_tasks, tasks_of, totals_of
+from .common import join_hot, mix64, prepare, release, save
 
+#: Tables for up to four rotations each; as many again for each rotation more, which finds a pair more seldom.
 TABLES = 10
 PROBES = 3
 
@@ -34,12 +35,13 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def rotations_for(count: int, dim: int) -> int:
-    """Rotations joined in a table, so that buckets hold a few of count unrelated vectors."""
-    return max(1, round(math.log(max(count, 1) / 4 + 1) / math.log(2 * dim)))
+    """Rotations joined in a table, so that a bucket seldom holds two of count unrelated vectors, probes included."""
+    return max(1, math.ceil(math.log(8 * max(count, 1)) / math.log(2 * dim)))
 
 
-def buckets(x: np.ndarray, joined: int, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
+def buckets(x: np.ndarray, joined: int, tables: int | None = None, probes: int = PROBES) -> np.ndarray:
     """Unit vectors (n, d) -> (n, tables * (1 + probes)) bucket numbers. Vectors of different length never meet."""
+    tables = tables or TABLES * max(1, joined - 3)
     n, d = x.shape
     wide = np.zeros((n, 1 << max(0, (d - 1).bit_length())))
     wide[:, :d] = x
@@ -74,30 +76,33 @@ def buckets(x: np.ndarray, joined: int, tables: int = TABLES, probes: int = PROB
     return np.stack(out, 1)
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, dtype=np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _by_length(column: pa.Array):
+    """(rows, unit vectors) of a list column, for each length that its vectors have."""
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        x = flat[starts[at, None] + np.arange(d)]
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        yield at, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _entries(joined: dict[int, int]):
-    def run(batches):
-        for b in batches:
-            vectors, items = b.column("vector").to_pylist(), b.column("item").to_numpy()
-            sizes = np.array([len(v) for v in vectors])
-            for d in np.unique(sizes):
-                at = np.flatnonzero(sizes == d)
-                codes = buckets(_unit([vectors[i] for i in at]), joined[int(d)])
-                yield pa.record_batch([pa.array(codes.ravel().view(np.int64)), pa.array(np.repeat(items[at], codes.shape[1]))], ["bucket", "item"])
-
-    return run
+def _entries(batches):
+    for b in batches:
+        items, counts = b.column("item").to_numpy(), b.column("alike").to_numpy()
+        for at, x in _by_length(b.column("vector")):
+            codes = buckets(x, rotations_for(int(counts[at[0]]), x.shape[1]))
+            for own in codes.T:
+                yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(items[at]), pa.array(np.ones(len(at), np.int32))], ["bucket", "item", "weight"])
 
 
 def _verified(threshold: float):
     def work(key, t):
-        ok = pairs_of(*key, t["blk"].to_numpy(), t["leaves"].to_pylist())
-        x = _unit(t["vector"].to_pylist())
-        a, b = np.nonzero(ok & (x @ x.T >= threshold))
+        ok = pairs_of(*key, t["blk"].to_numpy(), t["leaves"])
+        near = np.zeros_like(ok)
+        for at, x in _by_length(t["vector"].combine_chunks()):
+            near[np.ix_(at, at)] = x @ x.T >= threshold
+        a, b = np.nonzero(ok & near)
         if not len(a):
             return None
         return pa.record_batch([pa.array(v) for v in totals_of(t["item"].to_numpy(), t["size"].to_numpy(), a, b)], schema=LINKS)
@@ -106,11 +111,13 @@ def _verified(threshold: float):
 
 
 def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
-    """One row per input row: id, n_links (other rows linked directly), component_id (least id reachable), kept.
+    """One row per input row: id, n_links (other rows linked directly), component_id (least id reachable), kept
+    (id = component_id).
 
     Null, empty and all-zero vectors and those with null or non-finite components link with nothing. Equal vectors
-    always link. Vectors of different length never link. Rows with a null id stand under a negative id made from the
-    vector. An empty table gives no rows.
+    always link. Vectors of different length never link. An id may stand for several vectors: each links on its own.
+    Rows without an id link like others; component_id is null, and such rows are kept, where no row reached has an id.
+    An empty table gives no rows.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -118,41 +125,33 @@ def embedding_near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector
     fit = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     key = F.when(fit, F.md5(F.array_join(F.transform(v, lambda x: (x + 0.0).cast("string")), ",").cast("binary")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(fit, v).alias("vector"), key.alias("key"))
-    surrogate = -F.abs(F.xxhash64("key") % (1 << 62)) - 2
-    rows = save(rows.withColumn("id", F.coalesce("id", surrogate)), "vector-rows")
-    classes = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("item"), F.count("*").alias("size"))
-    classes = save(classes, "vector-classes")
-    own = rows.join(classes.withColumnRenamed("item", "id"), ["key", "id"]).dropDuplicates(["id"])
-    own = save(own.select(F.col("id").alias("item"), "size", "vector"), "vector-items")
-
-    counts = own.groupBy(F.size("vector").alias("d")).count().limit(10_000).collect()  # lengths of vectors: a few
-    joined = {r["d"]: rotations_for(r["count"], r["d"]) for r in counts}
-    entries = save(own.select("item", "vector").mapInArrow(_entries(joined), "bucket long, item long").distinct(), "vector-entries")
-    live = save(entries.join(save(live_buckets(entries), "vector-buckets"), "bucket").select("bucket", "members", "item"), "vector-live")
-    tasks = tasks_of(live).join(own.join(leaves_of(live), "item"), "item")
+    rows = save(rows, "vector-rows")
+    # A class is one vector, under a number of its own.
+    classes = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size"), F.first("vector").alias("vector"))
+    classes = save(classes.withColumn("item", F.monotonically_increasing_id()).withColumn("length", F.size("vector")), "vector-classes")
+
+    lengths = save(classes.groupBy("length").agg(F.count("*").alias("alike")), "vector-lengths")
+    sized = join_hot(classes.select("item", "length", "vector"), lengths, ["length"], "alike", "inner").select("item", "vector", "alike")
+    entries = save(sized.mapInArrow(_entries, "bucket long, item long, weight int").distinct(), "vector-entries")
+    filled = save(live_buckets(entries), "vector-buckets")
+    live = save(entries.join(filled, "bucket").select("bucket", "load", "item"), "vector-live")
+    release(entries, filled)
+    tasks = tasks_of(live).join(classes.select("item", "size", "vector").join(leaves_of(live), "item"), "item")
     found = save(run_tasks(tasks, _verified(threshold), "item long, links long, root long"), "vector-links")
+    release(live)
 
-    linked = components(found.select(F.col("item").alias("a"), F.col("root").alias("b")), "vector")
-    links = found.groupBy("item").agg(F.sum("links").alias("links"))
-    classes = save(classes.join(links, "item", "left").join(linked, "item", "left"), "vector-totals")
-    out = rows.select("id", "key").join(classes.hint("merge"), "key", "left")
-    component = F.coalesce("component", "item", "id")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.coalesce(F.coalesce("links", F.lit(0)) + F.col("size") - 1, F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        (F.col("id") == component).alias("kept"),
-    )
+    out = resolved(rows.select("id", "key"), classes.select("item", "key", "least", "size"), found, "vector")
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 #: The query over embeddings in DuckDB's SQL, by comparing all pairs.
 ORACLE = """
-WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-fit AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
-edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
-reach AS (SELECT a, a AS b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
-comps AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
-links AS (SELECT a AS vec_id, count(*) AS n_links FROM edges GROUP BY 1)
-SELECT v.vec_id, coalesce(l.n_links, 0)::BIGINT AS n_links, coalesce(c.component_id, v.vec_id) AS component_id, v.vec_id = coalesce(c.component_id, v.vec_id) AS kept
-FROM v LEFT JOIN links l USING (vec_id) LEFT JOIN comps c USING (vec_id)
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rn, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+fit AS (SELECT rn, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+edges AS (SELECT a.rn AS a, b.rn AS b FROM fit a JOIN fit b ON a.rn <> b.rn AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach AS (SELECT rn AS a, rn AS b FROM v UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+comps AS (SELECT r.a AS rn, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.rn = r.b GROUP BY 1),
+links AS (SELECT a AS rn, count(*) AS n_links FROM edges GROUP BY 1)
+SELECT v.vec_id, coalesce(l.n_links, 0)::BIGINT AS n_links, c.component_id, v.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM v LEFT JOIN links l USING (rn) JOIN comps c USING (rn)
 """

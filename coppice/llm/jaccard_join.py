@@ -3,10 +3,11 @@
 Every text becomes its set of hashed k-word shingles. A run of the join is a tree: at a node, each set picks BRANCH
 positions of its minwise sketch (a position's value is a token of the set drawn with randomness that all sets share)
 and goes down to the child named by position and value. Two sets of similarity s stay together over one choice with
-probability s, so at the threshold a run finds a pair with probability f, the fixed point of f = 1 - (1 - s f)^BRANCH;
-runs are repeated until the target recall. Nodes small enough are compared by brute force: sketch estimate first, then
-the exact Jaccard value of the full shingle sets. Larger nodes are split further, and at the depth limit cut into
-blocks, so no pair that shares a node is skipped.
+probability s, so a run finds a pair with probability f, the fixed point of f = 1 - (1 - s f)^BRANCH; runs are repeated
+until the target recall. All runs choose among the same positions, so the recall is that of a pair at the threshold over
+the number of positions in which its sketches happen to agree. Nodes small enough are compared by brute force: sketch
+estimate first, then the exact Jaccard value of the full shingle sets. Larger nodes are split further, and at the depth
+limit cut into blocks, so no pair that shares a node is skipped.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import BLOCK, LINKS, components, leaves_of, live_buckets, pairs_of, run_tasks, tasks_of, totals_of
-from .common import mix64, prepare, save
+from .buckets import BLOCK, LINKS, leaves_of, live_buckets, pairs_of, resolved, run_tasks, tasks_of, totals_of
+from .common import join_hot, mix64, prepare, release, save
 
 #: Positions of the sketch; 32 bits each.
 WIDTH = 64
 BRANCH = 2
 #: Levels taken before nodes are first counted, and the last level that splits.
 DEPTH, LAST_DEPTH = 3, 7
-#: Nodes over this size are split further.
+#: Shingles of a set that weigh as much as a member does anyway.
+UNIT = 4096
+#: Nodes over this weight are split further.
 LIMIT = 4 * BLOCK
 #: Sketch estimates this far below the threshold rule a pair out: five standard deviations of 64 positions at 0.8.
 SLACK = 0.25
@@ -38,10 +41,12 @@ WORD = re.compile(r"\w+")
 
 def runs_for(threshold: float, recall: float) -> int:
     """Runs needed so that a pair at the threshold is found with the given probability."""
-    f = 1.0
+    agree = np.arange(WIDTH + 1)
+    share = np.array([math.comb(WIDTH, k) * threshold**k * (1 - threshold) ** (WIDTH - k) for k in agree])
+    found = np.ones(WIDTH + 1)
     for _ in range(LAST_DEPTH):
-        f = 1 - (1 - threshold * f) ** BRANCH
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - f)))
+        found = 1 - (1 - agree / WIDTH * found) ** BRANCH
+    return next((r for r in range(1, 64) if share @ (1 - found) ** r <= 1 - recall), 64)
 
 
 class Shingles:
@@ -100,21 +105,25 @@ def _sketches_of(batch: pa.RecordBatch, column: str = "sketch") -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint32).reshape(-1, WIDTH)
 
 
-def _entries(nodes: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(nodes.ravel().view(np.int64)), pa.array(np.repeat(items, nodes.shape[1]))], ["bucket", "item"])
+def _entries(nodes: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    own = [pa.array(np.repeat(batch.column(c).to_numpy(), nodes.shape[1])) for c in ("item", "weight")]
+    return pa.record_batch([pa.array(nodes.ravel().view(np.int64)), *own], ["bucket", "item", "weight"])
 
 
 def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """(id, text, key) -> (id, key, sketch); sketch is null for texts without a word."""
+    """(id, text, key) -> (id, key, sketch, weight); sketch and key are null for texts without a word."""
 
     def run(batches):
         shingles = Shingles(k)
         for b in batches:
-            sets = map(shingles, b.column("text").to_pylist())
-            out = pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())
-            yield pa.record_batch([b.column("id"), b.column("key"), out], ["id", "key", "sketch"])
+            out, weight = [], []
+            for s in map(shingles, b.column("text").to_pylist()):
+                out.append(sketch(s).tobytes() if len(s) else None)
+                weight.append(1 + len(s) // UNIT)
+            yield pa.record_batch([b.column("id"), b.column("key"), pa.array(out, pa.binary()), pa.array(weight, pa.int32())], ["id", "key", "sketch", "weight"])
 
-    return docs.mapInArrow(run, "id long, key string, sketch binary")
+    rows = docs.mapInArrow(run, "id long, key string, sketch binary, weight int")
+    return rows.withColumn("key", F.when(F.col("sketch").isNotNull(), F.col("key")))
 
 
 def _first_level(runs: int):
@@ -124,18 +133,18 @@ def _first_level(runs: int):
             nodes = np.tile(mix64(np.arange(1, runs + 1) * 7919), (b.num_rows, 1))
             for _ in range(DEPTH):
                 nodes = children(nodes, sketches)
-            yield _entries(nodes, b.column("item").to_numpy())
+            yield _entries(nodes, b)
 
     return run
 
 
 def _next_level(batches):
     for b in batches:
-        yield _entries(children(b.column("bucket").to_numpy().view(np.uint64)[:, None], _sketches_of(b)), b.column("item").to_numpy())
+        yield _entries(children(b.column("bucket").to_numpy().view(np.uint64)[:, None], _sketches_of(b)), b)
 
 
 def _candidates(key, t: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
-    ok = pairs_of(*key, t["blk"].to_numpy(), t["leaves"].to_pylist())
+    ok = pairs_of(*key, t["blk"].to_numpy(), t["leaves"])
     a, b = np.nonzero(ok)
     if not len(a):
         return a, b
@@ -192,67 +201,78 @@ def _sets(k: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
-    """One row per input row: id, class_id, n_links, component_id, kept.
+#: Stands for no id where rows are matched by id.
+NO_ID = -(1 << 63)
+ENTRIES = "bucket long, item long, weight int"
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, recall: float = 0.9995, with_key: bool = False) -> DataFrame:
+    """One row per input row: id, class_id, n_links, component_id, kept (and text_key, the text's md5, if with_key).
 
     class_id: least id among rows of equal text. n_links: other rows whose shingle sets have Jaccard >= threshold,
-    equal texts included. component_id: least id reachable over links. kept: whether the row stays (id = component_id).
-    Null and wordless texts link with nothing, not even with each other. Rows that repeat an id and text count one
-    by one for n_links. Rows with a null id stand under a negative id made from the text. An empty table gives no rows.
+    equal texts included. component_id: least id reachable over links. kept: the row stays for its component; these are
+    the rows of the component's least id (nulls last) and, of the texts that have this id, the one of least md5.
+    Null and wordless texts link with nothing, not even with each other, and are kept. Rows that repeat an id and text
+    count one by one for n_links, and are kept or not together. An id may stand for several texts: they are told
+    apart. Rows without an id link like others; ids that no row gives stay null. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("key"))
-    surrogate = -F.abs(F.xxhash64("key") % (1 << 62)) - 2
-    rows = save(sketched(docs, k).withColumn("id", F.coalesce("id", surrogate)), "jaccard-rows")
-    # A class is one text; the sketch of any of its rows is that of all.
-    classes = rows.filter("sketch is not null").select("key", "id").groupBy("key").agg(F.min("id").alias("item"), F.count("*").alias("size"))
-    classes = save(classes, "jaccard-classes")
-    own = rows.join(classes.withColumnsRenamed({"item": "id"}), ["key", "id"]).select(F.col("id").alias("item"), "key", "size", "sketch")
-    own = save(own.dropDuplicates(["item"]), "jaccard-sketches")
-
-    entries = own.select("item", "sketch").mapInArrow(_first_level(runs_for(threshold, recall)), "bucket long, item long")
-    leaves = None
+    whole = F.md5(text.cast("binary"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), whole.alias("key"))
+    rows = save(sketched(docs, k), "jaccard-rows")
+    # A class is one text, under a number of its own; the sketch of any of its rows is that of all.
+    facts = [F.min("id").alias("least"), F.count("*").alias("size"), F.max("weight").alias("weight"), F.min("sketch").alias("sketch")]
+    classes = rows.filter("key is not null").groupBy("key").agg(*facts)
+    classes = save(classes.withColumn("item", F.monotonically_increasing_id()), "jaccard-classes")
+
+    entries = classes.select("item", "weight", "sketch").mapInArrow(_first_level(runs_for(threshold, recall)), ENTRIES)
+    leaves, spent = None, []
     for depth in range(DEPTH, LAST_DEPTH + 1):
         entries = save(entries.distinct() if depth > DEPTH else entries, "jaccard-entries")
-        live = entries.join(save(live_buckets(entries), "jaccard-nodes"), "bucket").select("bucket", "members", "item")
-        live = save(live, "jaccard-live")
-        done = live if depth == LAST_DEPTH else live.filter(F.col("members") <= LIMIT)
+        nodes = save(live_buckets(entries), "jaccard-nodes")
+        live = save(entries.join(nodes, "bucket").select("bucket", "load", "item"), "jaccard-live")
+        release(entries, nodes)
+        spent.append(live)
+        done = live if depth == LAST_DEPTH else live.filter(F.col("load") <= LIMIT)
         leaves = done if leaves is None else leaves.union(done)
-        large = live.filter(F.col("members") > LIMIT)
+        large = live.filter(F.col("load") > LIMIT)
         if depth == LAST_DEPTH or large.isEmpty():
             break
-        entries = large.select("bucket", "item").join(own.select("item", "sketch"), "item").mapInArrow(_next_level, "bucket long, item long")
+        entries = large.select("bucket", "item").join(classes.select("item", "weight", "sketch"), "item").mapInArrow(_next_level, ENTRIES)
     lists = save(leaves_of(leaves), "jaccard-leaves")
-    known = own.join(lists, "item")
+    known = classes.select("item", "key", "least", "size", "sketch").join(lists, "item")
 
     tasks = tasks_of(leaves).join(known.select("item", "sketch", "leaves"), "item")
     needed = save(run_tasks(tasks, _needed(threshold - SLACK), "bucket long, bi int, bj int, blk int, item long"), "jaccard-needed")
-    wanted = known.join(needed.select("item").distinct(), "item")
-    wanted = docs.withColumn("id", F.coalesce("id", surrogate)).join(wanted.withColumnRenamed("item", "id"), ["id", "key"]).dropDuplicates(["id"])
-    sets = wanted.select(F.col("id").alias("item"), "size", "sketch", "leaves", "text").mapInArrow(_sets(k), "item long, size long, sketch binary, leaves array<long>, shingles binary")
-    tasks = needed.join(save(sets, "jaccard-sets"), "item")
-    found = save(run_tasks(tasks, _verified(threshold - SLACK, threshold), "item long, links long, root long"), "jaccard-links")
-
-    linked = components(found.select(F.col("item").alias("a"), F.col("root").alias("b")), "jaccard")
-    links = found.groupBy("item").agg(F.sum("links").alias("links"))
-    classes = save(classes.join(links, "item", "left").join(linked, "item", "left"), "jaccard-totals")
-    out = rows.select("id", "key").join(classes.hint("merge"), "key", "left")
-    component = F.coalesce("component", "item", "id")
+    release(*spent)
+    wanted = save(known.join(needed.select("item").distinct(), "item"), "jaccard-wanted")
+    release(lists)
+    # The text of one row of each class: of those of its least id.
+    named = docs.withColumn("least", F.coalesce("id", F.lit(NO_ID))).select("key", "least", "text")
+    texts = join_hot(named, wanted.withColumn("least", F.coalesce("least", F.lit(NO_ID))), ["key", "least"], "size", "inner").dropDuplicates(["item"])
+    sets = texts.select("item", "size", "sketch", "leaves", "text").mapInArrow(_sets(k), "item long, size long, sketch binary, leaves array<long>, shingles binary")
+    sets = save(sets, "jaccard-sets")
+    found = save(run_tasks(needed.join(sets, "item"), _verified(threshold - SLACK, threshold), "item long, links long, root long"), "jaccard-links")
+    release(needed, wanted, sets)
+
+    out = resolved(rows.select("id", "key"), classes.select("item", "key", "least", "size"), found, "jaccard")
     return out.select(
         F.col("id").alias(id_col),
-        F.coalesce("item", "id").alias("class_id"),
-        F.coalesce(F.coalesce("links", F.lit(0)) + F.col("size") - 1, F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        (F.col("id") == component).alias("kept"),
+        F.when(F.col("item").isNotNull(), F.col("least")).otherwise(F.col("id")).alias("class_id"),
+        "n_links",
+        "component_id",
+        (F.col("item").isNull() | F.col("chosen") & F.col("id").eqNullSafe(F.col("least"))).alias("kept"),
+        *([F.col("key").alias("text_key")] if with_key else []),
     )
 
 
 #: The query over documents in DuckDB's SQL, by an inverted index over all shingles.
 ORACLE = r"""
 WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-words AS (SELECT text, min(doc_id) AS item, count(*) AS n, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM docs GROUP BY text),
-sets AS (SELECT text, item, n, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+words AS (SELECT text, min(doc_id) AS least, count(*) AS n, row_number() OVER (ORDER BY min(doc_id) NULLS LAST, md5(text)) AS item,
+  regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM docs GROUP BY text),
+sets AS (SELECT text, least, item, n, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words),
 flat AS (SELECT item, n, len(s) AS size, unnest(s) AS v FROM sets),
 pairs AS (SELECT a.item AS a, b.item AS b, any_value(a.n) AS na, any_value(b.n) AS nb FROM flat a JOIN flat b ON a.v = b.v AND a.item < b.item
@@ -260,10 +280,11 @@ pairs AS (SELECT a.item AS a, b.item AS b, any_value(a.n) AS na, any_value(b.n)
 edges AS (SELECT a, b, nb AS n FROM pairs UNION ALL SELECT b, a, na FROM pairs),
 links AS (SELECT a AS item, sum(n) AS links FROM edges GROUP BY 1),
 reach AS (SELECT item AS a, item AS b FROM links UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
-comps AS (SELECT a AS item, min(b) AS component FROM reach GROUP BY 1)
-SELECT d.doc_id, CASE WHEN len(s.s) = 0 THEN d.doc_id ELSE s.item END AS class_id,
+comps AS (SELECT a AS item, min(b) AS first FROM reach GROUP BY 1)
+SELECT d.doc_id, CASE WHEN len(s.s) = 0 THEN d.doc_id ELSE s.least END AS class_id,
   CASE WHEN len(s.s) = 0 THEN 0 ELSE coalesce(l.links, 0) + s.n - 1 END::BIGINT AS n_links,
-  CASE WHEN len(s.s) = 0 THEN d.doc_id ELSE coalesce(c.component, s.item) END AS component_id,
-  CASE WHEN len(s.s) = 0 THEN true ELSE d.doc_id = coalesce(c.component, s.item) END AS kept
+  CASE WHEN len(s.s) = 0 THEN d.doc_id ELSE f.least END AS component_id,
+  len(s.s) = 0 OR (s.item = f.item AND d.doc_id IS NOT DISTINCT FROM s.least) AS kept
 FROM docs d JOIN sets s USING (text) LEFT JOIN links l ON l.item = s.item LEFT JOIN comps c ON c.item = s.item
+JOIN sets f ON f.item = coalesce(c.first, s.item)
 """
