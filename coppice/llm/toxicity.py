@@ -2,9 +2,9 @@
 
 Each class has an interpolated Kneser-Ney model of the characters of its words. The highest order is counted per
 class; the backoff below it is one model of continuation counts from the words of all documents, labelled or not, so a
-rare expression gets nearly the same probability from both classes. A word's evidence is the difference of its toxic
-and ordinary log-likelihoods over its length; a document's is drawn from its words and calibrated on labelled rows
-that the counts did not see.
+rare expression gets nearly the same probability from both classes. An expression's evidence is the difference of its
+toxic and ordinary log-likelihoods over its length. A document's score comes from such differences alone, of the whole
+text and of its most toxic words, calibrated on labelled rows that the counts did not see.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .calibration import apply_logistic, fit_logistic
 from .common import crc_mod, kept_in_worker, prepare, sample_labels, save
 
-#: Characters of the longest n-gram; absolute discount; least labelled documents for a class n-gram of its own.
-ORDER, DISCOUNT, RARE = 6, 0.75, 4
+#: Characters of the longest n-gram; absolute discount.
+ORDER, DISCOUNT = 6, 0.75
 #: Bound of the labelled rows the class models (four fifths) and the calibration (one fifth) are fitted on. The shared
 #: backoff counts cover all documents.
 SAMPLE = 100_000
@@ -142,7 +142,7 @@ def gram_ratios(labelled: DataFrame, docs: DataFrame) -> DataFrame:
     """
     classes = ("toxic", "ordinary")
     gram = F.col("gram")
-    counts = save(count_grams(labelled).filter(F.col("toxic") + F.col("ordinary") >= RARE).withColumn("history", F.substring(gram, F.lit(1), F.length(gram) - 1)), "toxicity-grams")
+    counts = save(count_grams(labelled).withColumn("history", F.substring(gram, F.lit(1), F.length(gram) - 1)), "toxicity-grams")
     sums = [F.sum(c).alias(f"{c}_sum") for c in classes] + [F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in classes]
     known = save(counts.groupBy("history").agg(*sums), "toxicity-histories")
     # The histories that the backoff of these n-grams passes through: inner parts that end before the last character.
@@ -171,13 +171,12 @@ class Model:
         self.sums = ({}, {})
         self.kinds = ({}, {})
         for g, toxic, ordinary, _ in rows:
-            if toxic + ordinary >= RARE:
-                for k, n in enumerate((toxic, ordinary)):
-                    if n:
-                        h = g[:-1]
-                        self.own[k][g] = n
-                        self.sums[k][h] = self.sums[k].get(h, 0) + n
-                        self.kinds[k][h] = self.kinds[k].get(h, 0) + 1
+            for k, n in enumerate((toxic, ordinary)):
+                if n:
+                    h = g[:-1]
+                    self.own[k][g] = n
+                    self.sums[k][h] = self.sums[k].get(h, 0) + n
+                    self.kinds[k][h] = self.kinds[k].get(h, 0) + 1
         # Shared continuation counts: of each shorter n-gram, the different characters that precede it.
         level = {g for g, *_ in rows}
         self.types: dict[str, int] = {}
@@ -229,16 +228,18 @@ class Model:
         return total / max(1, length)
 
 
-FEATURES = 5
+FEATURES = 3
 
 
-def document_features(scores: np.ndarray) -> np.ndarray:
-    """From the evidence of each word: the strongest, the second, the mean, the sum of strong ones, the length."""
-    if not len(scores):
-        return np.zeros(FEATURES)
-    top = np.sort(np.partition(scores, -2)[-2:]) if len(scores) > 1 else np.array([0.0, scores[0]])
-    strong = np.maximum(scores - 0.5, 0).sum()
-    return np.array([top[-1], top[0], scores.mean(), math.log1p(strong), math.log1p(len(scores)) / 10])
+def document_features(words: list[str], evidence: list[float]) -> list[float]:
+    """Log-likelihood under the toxic model less that under the ordinary one, over the length: of the whole text, of the
+    word where it is greatest, and the mean of the three such words. 0 without a word."""
+    if not words:
+        return [0.0] * FEATURES
+    lengths = np.fromiter(map(len, words), float, len(words)) + 1
+    each = np.array(evidence)
+    top = np.partition(each, -3)[-3:] if len(each) > 3 else each
+    return [float(each @ lengths / lengths.sum()), float(each.max()), float(top.mean())]
 
 
 class Evidence:
@@ -288,8 +289,9 @@ def _scored(shared, weights, names):
         for b in batches:
             rows = []
             for text in b.column("_text").to_pylist():
-                rows.append(document_features(np.array(evidence(words_of(text)))))
-            x = np.array(rows)
+                words = words_of(text)
+                rows.append(document_features(words, evidence(words)))
+            x = np.array(rows).reshape(-1, FEATURES)
             out = [b.column(n) for n in names]
             if weights is None:
                 out.append(pa.array(list(x), pa.list_(pa.float64())))
@@ -303,7 +305,8 @@ def _scored(shared, weights, names):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[tuple[dict, dict], dict]:
     """Class counts from four fifths of the sampled labels, shared counts from all documents; the calibration from the
-    rest of the sample. Without labelled rows of both classes all scores are the smoothed share of toxic rows."""
+    rest of the sample. Every row of a labelled id counts for the classes, and one of them for the calibration. Without
+    labelled rows of both classes all scores are the smoothed share of toxic rows."""
     spark = docs.sparkSession
     prepare(spark)
     known = sample_labels(labels, id_col, label_col, SAMPLE)
@@ -313,7 +316,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = collected(gram_ratios(labelled, every))
     part = every.join(F.broadcast(known.filter(tune)), "id").select("id", "label", F.col("text").alias("_text"))
     shared = spark.sparkContext.broadcast(model)
-    got = part.mapInArrow(_scored(shared, None, ["id", "label"]), "id long, label int, features array<double>").toPandas().sort_values("id")
+    found = part.mapInArrow(_scored(shared, None, ["id", "label"]), "id long, label int, features array<double>")
+    got = found.groupBy("id", "label").agg(F.max("features").alias("features")).toPandas().sort_values("id")
     x = np.array(got["features"].tolist()).reshape(-1, FEATURES)
     return model, fit_logistic(x, got["label"].to_numpy().astype(float))
 
@@ -321,7 +325,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_toxicity(docs: DataFrame, model: tuple[tuple[dict, dict], dict], keep: list, text_col: str = "text") -> DataFrame:
     """The columns `keep` (expressions) of each row, and score in 0..1.
 
-    Null texts and those without a word get the score of no evidence. Texts are read whole. No rows for an empty table.
+    Null texts and those without a word get the score of no evidence. Texts are read whole. Rows that repeat an id or a
+    text get a score each, equal ones for equal texts. No rows for an empty table.
     """
     prepare(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
