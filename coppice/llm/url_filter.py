@@ -1,7 +1,9 @@
 """URL filters: explicit rules first, then segmented words of host and path under multinomial naive Bayes.
 
 Concatenated names are split into words by a Viterbi search over a unigram model, whose counts come from the words of
-all pages. Naive Bayes learns from the urls that a rule decides and judges those that none does.
+all pages. Naive Bayes learns from the urls that a rule decides and judges those that none does. Neither model is cut or
+gathered in one place: the words that lie within a run of letters are found by a join, each run is split on its own, and
+token counts are joined to the runs that hold the tokens.
 """
 
 from __future__ import annotations
@@ -12,24 +14,48 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import join_hot, prepare, release, save
 
 #: The default rules: (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Bound of the unigram model: words, the most frequent first. Rarer ones count as unknown, by their length.
-MOST_WORDS = 200_000
-LONGEST = 24
-#: Tokens are hashed into so many classes: the bound of what naive Bayes collects and broadcasts.
-BUCKETS = 1 << 16
-LETTERS = re.compile(r"[^\W\d_]+|\d+")
-TAGS = re.compile(r"<(script|style)\b.*?</\1>|<[^>]*>", re.S | re.I)
+#: Words up to this length are looked up as parts of a run; longer ones by their first letters, then as a whole.
+STEM = 24
+RUN = r"\p{L}+|\p{Nd}+"
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def plain_text(html: str | None) -> str:
+    """The lower-cased page without scripts, styles and tags, in one pass: an opening without a closing is plain text."""
+    text = (html or "").lower()
+    out, at = [], 0
+    gone = set()
+    while True:
+        lo = text.find("<", at)
+        if lo < 0 or "<" in gone:
+            out.append(text[at:])
+            return " ".join(out)
+        out.append(text[at:lo])
+        hi = -1
+        for tag in ("script", "style"):
+            after = lo + 1 + len(tag)
+            if tag not in gone and text.startswith(tag, lo + 1) and not (text[after : after + 1].isalnum() or text[after : after + 1] == "_"):
+                hi = text.find(f"</{tag}>", after)
+                if hi < 0:
+                    gone.add(tag)  # nor does it close further on
+                else:
+                    hi += len(tag) + 2
+        if hi < 0:
+            hi = text.find(">", lo)
+            if hi < 0:
+                gone.add("<")
+                at = lo
+                continue
+        at = hi + 1
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """(host, path): host after the first :// up to / ? # or the end, A-Z lower-cased; path then up to ? # or the end.
     Null, or without ://: both empty."""
@@ -52,31 +78,32 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 
 class Segmenter:
-    """Splits a run of letters into words: the best product of unigram probabilities, by Viterbi."""
+    """Splits a run of letters into words: the best product of unigram probabilities, by Viterbi. An unknown word of n
+    letters counts as 10 / 10^n occurrences; ties go to the longer last word."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        self.log = {w: math.log(n / total) for w, n in counts.items()}
-        self.unknown = [math.log(10 / total) - n * math.log(10) for n in range(LONGEST + 1)]
-        self.known: dict[str, list[str]] = {}
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """counts: of the words that the run holds, or more; total: of all words, their sum unless given."""
+        self.total = math.log((sum(counts.values()) if total is None else total) + 1)
+        self.log = {w: math.log(n) - self.total for w, n in counts.items()}
+        self.lengths = sorted(set(map(len, counts)))
 
     def __call__(self, run: str) -> list[str]:
-        found = self.known.get(run)
-        if found is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            found = self.known[run] = self._split(run)
-        return found
-
-    def _split(self, run: str) -> list[str]:
+        """A stretch of unknown letters is one word: what it costs is the same however it starts, so the best of all its
+        starts is carried along."""
+        tenfold = math.log(10)
         best, back = [0.0], [0]
+        top, first = -math.inf, 0  # best[start] + start * log 10, over the starts so far
         for end in range(1, len(run) + 1):
-            top, at = -math.inf, 0
-            for start in range(max(0, end - LONGEST), end):
-                score = best[start] + self.log.get(run[start:end], self.unknown[end - start])
-                if score > top:
-                    top, at = score, start
-            best.append(top)
+            if best[end - 1] + (end - 1) * tenfold > top:
+                top, first = best[end - 1] + (end - 1) * tenfold, end - 1
+            score, at = top - end * tenfold + tenfold - self.total, first
+            for n in self.lengths:
+                if n > end:
+                    break
+                p = self.log.get(run[end - n : end])
+                if p is not None and best[end - n] + p >= score:
+                    score, at = best[end - n] + p, end - n
+            best.append(score)
             back.append(at)
         out, end = [], len(run)
         while end:
@@ -85,16 +112,6 @@ class Segmenter:
         return out[::-1]
 
 
-def tokens(host: str, path: str, segment: Segmenter) -> list[int]:
-    """Hashed tokens: words of host and path apart; a number counts by its length."""
-    out = []
-    for side, text in (("h", host), ("p", path.lower())):
-        for run in LETTERS.findall(text):
-            words = [f"#{len(run)}"] if run.isdigit() else segment(run)
-            out += [xxhash.xxh3_64_intdigest(f"{side}:{w}") % BUCKETS for w in words]
-    return out
-
-
 def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(word, n): all words of the pages' texts."""
 
@@ -102,69 +119,117 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
         tally: Counter = Counter()
         for b in batches:
             for html in b.column("html").to_pylist():
-                tally.update(w for w in WORD.findall(TAGS.sub(" ", html or "").lower()) if len(w) <= LONGEST)
-            if len(tally) > 500_000:
-                yield pa.record_batch([pa.array(list(tally)), pa.array(list(tally.values()), pa.int64())], ["word", "n"])
-                tally.clear()
+                tally.update(WORD.findall(plain_text(html)))
+                if len(tally) > 500_000:
+                    yield pa.record_batch([pa.array(list(tally)), pa.array(list(tally.values()), pa.int64())], ["word", "n"])
+                    tally.clear()
         yield pa.record_batch([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], ["word", "n"])
 
     rows = pages.select(F.col(html_col).cast("string").alias("html")).mapInArrow(run, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES) -> tuple[dict[str, int], np.ndarray]:
-    """(word counts, naive Bayes counts): tokens by hash and verdict with one added to each, last row the urls."""
-    spark = pages.sparkSession
-    prepare(spark)
-    top = word_counts(pages, html_col).filter("n > 1").orderBy(F.desc("n"), "word").limit(MOST_WORDS).toArrow()
-    counts = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast(counts)
-    host, path = url_parts(F.col(url_col).cast("string"))
+def runs_of(side: str, text: Column) -> Column:
+    """Array of (side, run): the runs of letters and of digits, lower-cased."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(RUN), F.lit(0))
+    return F.transform(found, lambda r: F.struct(F.lit(side).alias("side"), r.alias("run")))
 
-    def run(batches):
-        segment, sums = Segmenter(shared.value), np.zeros((BUCKETS + 1, 2), np.int64)
-        for b in batches:
-            for h, p, v in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), b.column("verdict").to_pylist(), strict=True):
-                k = int(v == "block")
-                sums[BUCKETS, k] += 1
-                np.add.at(sums[:, k], tokens(h, p, segment), 1)
-        at = np.flatnonzero(sums.any(1))
-        yield pa.record_batch([pa.array(at), pa.array(sums[at, 0]), pa.array(sums[at, 1])], ["bucket", "allow", "block"])
 
-    ruled = pages.select(host.alias("host"), path.alias("path")).withColumn("verdict", matching_rule(F.col("host"), F.col("path"), rules)[1]).filter("verdict is not null")
-    got = ruled.mapInArrow(run, "bucket long, allow long, block long").groupBy("bucket").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).toArrow()
-    sums = np.ones((BUCKETS + 1, 2))
-    sums[got["bucket"].to_numpy()] += np.stack([got["allow"].to_numpy(), got["block"].to_numpy()], 1)
-    return counts, sums
+def words_within(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """(run) and (word, n) -> (run, words: array of (word, n)): those words that a run holds. Runs that hold none are left
+    out."""
+    long = words.filter(F.length("word") > STEM)
+    starts = F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at")
+    placed = runs.select("run", starts)
+    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(STEM), F.length("run") - F.col("at") + 1))).alias("size")
+    parts = placed.select("run", "at", sizes).select("run", F.substring("run", F.col("at"), F.col("size")).alias("word")).distinct()
+    held = parts.join(words.filter(F.length("word") <= STEM), "word").select("run", "word", "n")
+    if not long.isEmpty():
+        stems = placed.filter(F.length("run") - F.col("at") >= STEM).withColumn("stem", F.substring("run", F.col("at"), F.lit(STEM)))
+        whole = stems.join(long.withColumn("stem", F.substring("word", 1, STEM)), "stem")
+        whole = whole.filter(F.substring("run", F.col("at"), F.length("word")) == F.col("word"))
+        held = held.union(whole.select("run", "word", "n").distinct())
+    return held.groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("words"))
 
 
-def filter_urls(pages: DataFrame, model: tuple[dict[str, int], np.ndarray], id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+def split_runs(runs: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(run, times) -> (run, times, words): the segmented run. Digits are one word, which counts by its length."""
+    letters = runs.filter(F.col("run").rlike(r"^\p{L}"))
+    given = letters.join(words_within(letters.select("run"), words), "run", "left")
+
+    def split(batches):
+        for b in batches:
+            out = []
+            for run, found in zip(b.column("run").to_pylist(), b.column("words").to_pylist(), strict=True):
+                out.append(Segmenter({w["word"]: w["n"] for w in found or []}, total)(run))
+            yield pa.record_batch([b.column("run"), b.column("times"), pa.array(out, pa.list_(pa.string()))], ["run", "times", "words"])
+
+    digits = runs.filter(~F.col("run").rlike(r"^\p{L}")).select("run", "times", F.array(F.concat(F.lit("#"), F.length("run").cast("string"))).alias("words"))
+    return given.select("run", "times", "words").mapInArrow(split, "run string, times long, words array<string>").union(digits)
+
+
+def token_ratios(ruled: DataFrame, split: DataFrame) -> tuple[DataFrame, float, float]:
+    """Multinomial naive Bayes over (side, word), one added to each count: (side, word, ratio) of the tokens that ruled
+    urls have, the ratio of any other token, and that of the classes. Ratios: log of block over allow.
+
+    ruled: (verdict, runs: array of (side, run)); split: (run, words)."""
+    kinds = ("block", "allow")
+    urls = {r["verdict"]: r["count"] for r in ruled.groupBy("verdict").count().collect()}
+    tally = ruled.select("verdict", F.explode("runs").alias("r")).select("verdict", "r.*").groupBy("side", "run")
+    tally = tally.agg(*(F.count(F.when(F.col("verdict") == k, True)).alias(k) for k in kinds))
+    tokens = tally.join(split, "run").select("side", F.explode("words").alias("word"), *kinds).groupBy("side", "word").agg(*(F.sum(k).alias(k) for k in kinds))
+    tokens = save(tokens, "url-tokens")
+    sums = tokens.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds)).first()
+    size = {k: sums[k] + sums["n"] + 1 for k in kinds}  # one for all tokens that no ruled url has
+    other = math.log(size["allow"] / size["block"])
+    ratio = F.log((F.col("block") + 1) / (F.col("allow") + 1)) + other
+    prior = math.log((urls.get("block", 0) + 1) / (urls.get("allow", 0) + 1))
+    return tokens.select("side", "word", ratio.alias("ratio")), other, prior
+
+
+def with_runs(pages: DataFrame, url_col: str, *keep: Column) -> DataFrame:
+    """keep, host, path and runs (array of (side, run)) of each url."""
+    host, path = url_parts(F.col(url_col).cast("string"))
+    rows = pages.select(*keep, host.alias("host"), path.alias("path"))
+    return rows.withColumn("runs", F.concat(runs_of("h", F.col("host")), runs_of("p", F.col("path"))))
+
+
+def fit(pages: DataFrame, url_col: str = "url", html_col: str = "html", rules=RULES) -> dict:
+    """Word counts of all pages (words, a table, and their total) and naive Bayes from the urls that a rule decides
+    (ratios, a table, the ratio of other tokens and that of the classes)."""
+    prepare(pages.sparkSession)
+    words = save(word_counts(pages, html_col), "url-words")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    verdict = matching_rule(F.col("host"), F.col("path"), rules)[1]
+    ruled = save(with_runs(pages, url_col).select(verdict.alias("verdict"), "runs").filter("verdict is not null"), "url-ruled")
+    runs = ruled.select(F.explode("runs").alias("r")).groupBy("r.run").agg(F.count("*").alias("times"))
+    split = save(split_runs(runs, words, total), "url-known")
+    ratios, other, prior = token_ratios(ruled, split.select("run", "words"))
+    release(ruled, split)
+    return {"words": words, "total": total, "ratios": ratios, "other": other, "prior": prior}
+
+
+def filter_urls(pages: DataFrame, model: dict, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, score (probability of block), words (of the host).
 
-    A null url, or one without ://, has empty host and path and no rule; naive Bayes' prior then decides. Ties allow.
-    An empty table gives no rows.
+    A null url, or one without ://, has empty host and path and no rule; naive Bayes' prior then decides, as it does
+    without letters and digits. Ties allow. Rows that repeat an id or a url are judged one by one, equal urls alike. Very
+    long pages and runs are read whole. An empty table gives no rows.
     """
     prepare(pages.sparkSession)
-    host, path = url_parts(F.col(url_col).cast("string"))
-    rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    rows = save(with_runs(pages, url_col, F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")), "url-rows")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    kind = rows.schema["id"].dataType.simpleString()
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        counts, sums = shared.value
-        segment = Segmenter(counts)
-        log = np.log(sums[:-1] / sums[:-1].sum(0))
-        prior = np.log(sums[-1] / sums[-1].sum())
-        ratio, prior = log[:, 1] - log[:, 0], prior[1] - prior[0]
-        for b in batches:
-            score, words = [], []
-            for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True):
-                z = prior + ratio[tokens(h, p, segment)].sum()
-                score.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
-                words.append(" ".join(w for r in LETTERS.findall(h) for w in segment(r)))
-            yield pa.record_batch([b.column("id"), b.column("host"), b.column("path"), pa.array(score), pa.array(words)], ["id", "host", "path", "score", "words"])
-
-    judged = rows.mapInArrow(run, f"id {kind}, host string, path string, score double, words string")
+    placed = rows.select("row", F.posexplode("runs").alias("at", "r")).select("row", "at", "r.*")
+    split = save(split_runs(placed.groupBy("run").agg(F.count("*").alias("times")), model["words"], model["total"]), "url-split")
+
+    # What each run adds to the score, on its side; then the sum for each row. Frequent runs are broadcast.
+    sides = placed.groupBy("side", "run").agg(F.count("*").alias("n")).join(split.select("run", "words"), "run")
+    each = sides.select("side", "run", "n", "words", F.explode("words").alias("word")).join(model["ratios"], ["side", "word"], "left")
+    each = each.groupBy("side", "run").agg(F.sum(F.coalesce("ratio", F.lit(model["other"]))).alias("z"), F.first("n").alias("n"), F.first("words").alias("words"))
+    scored = join_hot(placed, save(each, "url-runs"), ["side", "run"], "n", "inner")
+    text = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == "h", F.struct("at", "words")))), lambda w: w["words"])), " ")
+    sums = scored.groupBy("row").agg(F.sum("z").alias("z"), text.alias("words"))
+    z = F.least(F.lit(50.0), F.greatest(F.lit(-50.0), F.round(F.coalesce("z", F.lit(0.0)) + model["prior"], 9)))
+    out = rows.join(sums, "row", "left").withColumn("score", 1 / (1 + F.exp(-z)))
     own = F.when(F.col("score") > 0.5, "block").otherwise("allow")
-    return judged.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score", "words")
+    return out.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "score", F.coalesce("words", F.lit("")).alias("words"))
