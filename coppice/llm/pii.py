@@ -1,11 +1,11 @@
 """Personal data: exact base patterns, then information-theoretic sanitisation; DataFrame functions only.
 
 Base spans of four kinds come from regular expressions. Corpus co-occurrence then estimates which terms reveal a
-protected entity (the value of a base span): contexts are the WINDOW words on either side of a span, equal contexts
-counting once. A term's disclosure is the share of the texts that hold it in which it stands beside the entity, and
-its information is log2 of that share over the share of texts with the entity in all rows. Copies of a text count as
-one text but in the number of rows. Terms over both thresholds with enough different contexts are spans of the kind
-`term`, wherever they occur.
+protected entity (the value of a base span): over whole texts, each different text counting once, a term's disclosure is
+the share of the texts with it that hold the entity, and its information is log2 of that share over the share of all
+texts that hold the entity. Texts must bear the term out on their own: near copies of one text are no evidence, so the
+texts that hold both must share little (see INDEPENDENT). Terms over all three thresholds are spans of the kind `term`,
+wherever they occur.
 """
 
 from __future__ import annotations
@@ -27,10 +27,14 @@ PATTERNS = {
 }
 _octet = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
 IP = rf"^{_octet}(?:\.{_octet}){{3}}$"
-TERM = r"[\p{L}\p{N}]{3,64}+"
-WINDOW = 5
-#: Thresholds: different contexts with the entity, share of the term's documents, bits of information.
-CONTEXTS, SHARE, BITS = 3, 0.5, 6.0
+TERM = r"[\p{L}\p{N}]{3,}+"
+#: Thresholds: share of the term's texts, bits of information.
+SHARE, BITS = 0.5, 5.0
+#: Least effective number of texts with term and entity: one over the chance that two of them, drawn with repetition,
+#: agree in a minwise value of their words. k unrelated texts count as k, any number of near copies as hardly more than 1.
+INDEPENDENT = 1.5
+#: Minwise values of a text, over which that chance is averaged.
+MINS = 8
 #: What a span is generalised to. A term is removed down to this mark.
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -112,91 +116,96 @@ def with_plain(df: DataFrame) -> DataFrame:
     return df.withColumn("_plain", F.when(F.size(spans) == 0, text).otherwise(whole)).drop("_all_ends", "_reach")
 
 
-def contexts() -> Column:
-    """Of a row's _plain and spans: array of (entity, words), the WINDOW words on either side of each span."""
-    reach = 12 * WINDOW
-    text = F.col("_plain")
-
-    def near(s):
-        left = F.substring(text, F.greatest(F.lit(1), s["start"] - reach + 1), F.least(s["start"], F.lit(reach)))
-        right = F.substring(text, s["end"] + 1, F.lit(reach))
-        before = F.regexp_extract_all(F.lower(left), F.lit(TERM), F.lit(0))
-        after = F.regexp_extract_all(F.lower(right), F.lit(TERM), F.lit(0))
-        return F.struct(F.lower(s["value"]).alias("entity"), F.concat(F.reverse(F.slice(F.reverse(before), 1, WINDOW)), F.slice(after, 1, WINDOW)).alias("words"))
-
-    return F.transform("spans", near)
+def entities() -> Column:
+    """The different values of a row's spans, lower-cased."""
+    return F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))
 
 
 def revealing_terms(facts: DataFrame, rows: DataFrame) -> DataFrame:
-    """(term): those over the disclosure thresholds. facts: (text_key, near) of every row of the corpus; rows: its
-    (text). Counts are of different texts, but for the number of rows."""
-    beside = facts.filter(F.size("near") > 0).dropDuplicates(["text_key"])
-    near = beside.select("text_key", F.explode("near").alias("n")).select("text_key", "n.entity", "n.words")
-    near = near.select("text_key", "entity", F.xxhash64("words").alias("context"), F.explode(F.array_distinct("words")).alias("term"))
-    pairs = near.groupBy("term", "entity", "context", "text_key").agg(F.lit(1)).groupBy("term", "entity")
-    pairs = pairs.agg(F.countDistinct("context").alias("contexts"), F.countDistinct("text_key").alias("texts")).filter(F.col("contexts") >= CONTEXTS)
-    # A term is in at least as many texts as have it beside some entity, so pairs that miss the share there go at
-    # once; that rules out common words before the corpus is read for the rest.
-    most = beside.select(F.explode(F.array_distinct(F.flatten(F.transform("near", lambda n: n["words"])))).alias("term"))
-    most = most.groupBy("term").agg(F.count("*").alias("beside"))
-    pairs = save(pairs.join(most, "term").filter(F.col("texts") >= SHARE * F.col("beside")).select("term", "entity", "texts"), "pii-pairs")
-    if pairs.isEmpty():
-        return pairs.select("term")
-    terms = save(pairs.select("term").distinct(), "pii-candidates")
-    # Counts cover all texts: of each candidate term, and of each candidate entity.
-    keyed = words_of(rows.withColumn("text_key", F.md5(F.col("text").cast("binary"))), "text_key")
-    seen = keyed.join(small(terms), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("documents"))
-    held = beside.select(F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity"))
-    held = held.join(pairs.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("holders"))
-    # Rows, not texts: test_revealing_terms_are_removed has 6.12 bits by rows and 5.99 by texts, under BITS.
-    total = facts.count()
+    """(term): those over the disclosure thresholds. facts: (text_key, entities) of every row of the corpus; rows: its
+    (text_key, text, plain), where plain is the text without its spans. All counts are of different texts."""
+    total = max(1, facts.select("text_key").distinct().count())
+    held = facts.filter(F.size("entities") > 0).dropDuplicates(["text_key"]).select("text_key", F.explode("entities").alias("entity"))
+    # An entity of one text has no second one to bear it out; one of too many cannot reach the bits.
+    holders = held.groupBy("entity").agg(F.count("*").alias("holders")).filter((F.col("holders") > 1) & (F.col("holders") <= total / 2**BITS))
+    held = save(held.join(holders, "entity"), "pii-held")
+    empty = held.select(F.col("entity").alias("term")).limit(0)
+    if held.isEmpty():
+        return empty
+    # Terms of the texts that hold such an entity, in two of these or more. The share then rules out common words.
+    beside = rows.join(small(held.select("text_key").distinct()), "text_key", "left_semi").dropDuplicates(["text_key"])
+    words = save(words_of(beside, F.col("plain"), "text_key").distinct(), "pii-words")
+    most = words.groupBy("term").agg(F.count("*").alias("beside")).filter("beside > 1")
+    terms = save(most, "pii-terms-beside")
+    seen = words_of(rows, F.col("text"), "text_key").join(small(terms), "term").groupBy("term", "text_key").agg(F.max("beside").alias("beside"))
+    seen = seen.groupBy("term").agg(F.count("*").alias("documents"), F.max("beside").alias("beside"))
+    # Both hold for every term that reaches the share and the bits with some entity.
+    seen = save(seen.filter((F.col("beside") >= SHARE * F.col("documents")) & (F.col("documents") <= total / 2**BITS / SHARE)), "pii-seen")
+    pairs = words.join(small(seen.select("term", "documents")), "term").join(held, "text_key")
+    found = pairs.groupBy("term", "entity").agg(F.count("*").alias("texts"), F.max("documents").alias("documents"), F.max("holders").alias("holders"))
     share = F.least(F.lit(1.0), F.col("texts") / F.col("documents"))
-    bits = F.log2(share / (F.col("holders") / F.lit(max(1, total))))
-    return pairs.join(seen, "term").join(held, "entity").filter((share >= SHARE) & (bits >= BITS)).select("term").distinct()
+    bits = F.log2(share / (F.col("holders") / F.lit(total)))
+    found = save(found.filter((F.col("texts") > 1) & (share >= SHARE) & (bits >= BITS)), "pii-pairs")
+    if found.isEmpty():
+        return empty
+    # Are the texts of a pair near copies of each other? By the minwise values that they share.
+    mins = F.array(*(F.min(F.xxhash64("term", F.lit(j))) for j in range(MINS)))
+    values = words.groupBy("text_key").agg(mins.alias("mins"))
+    each = pairs.join(small(found.select("term", "entity")), ["term", "entity"], "left_semi").select("term", "entity", "text_key")
+    each = each.join(values, "text_key").select("term", "entity", F.posexplode("mins").alias("j", "value"))
+    agree = each.groupBy("term", "entity", "j", "value").agg(F.count("*").alias("n")).groupBy("term", "entity", "j").agg((F.sum(F.col("n") * F.col("n")) / F.pow(F.sum("n"), F.lit(2))).alias("agree"))
+    return agree.groupBy("term", "entity").agg(F.avg("agree").alias("agree")).filter(F.col("agree") <= 1 / INDEPENDENT).select("term").distinct()
 
 
-#: Rows of terms, or of texts with terms, that are broadcast; more are joined by a shuffle. A term has 64 characters.
-MOST_BROADCAST = 200_000
+#: Characters in all that a table may have to be broadcast; a larger one is joined by a shuffle.
+MOST_BROADCAST = 16 << 20
 
 
 def small(table: DataFrame) -> DataFrame:
-    """table, to be broadcast if it is counted to be small enough."""
-    return F.broadcast(table) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else table
+    """table (saved, or cheap to run), to be broadcast if its values are counted to be few and short enough."""
+    sizes = table.select(sum((F.length(F.to_json(F.struct(c))) for c in table.columns), F.lit(0)).alias("n"))
+    return F.broadcast(table) if (sizes.agg(F.sum("n")).first()[0] or 0) <= MOST_BROADCAST else table
+
+
+def words_of(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """keep, then the terms of a row's text, lower-cased; some may repeat."""
+    found = rows.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("term"))
+    return found.withColumn("term", F.lower("term"))
 
 
-def words_of(rows: DataFrame, *keep: str) -> DataFrame:
-    """keep, then each different term of a row's text."""
-    return rows.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(text_key, text) -> (text_key, found): spans of the terms, in order, of each different text that has any."""
+    few = small(terms)
+    keys = save(words_of(rows, F.col("text"), "text_key").join(few, "term", "left_semi").select("text_key").distinct(), "pii-keys")
+    texts = rows.join(small(keys), "text_key", "left_semi").dropDuplicates(["text_key"])
+    words = with_matches(texts, "_words", F.lit(TERM), F.lit(True), KINDS.index("term")).select("text_key", F.explode("_words").alias("w"))
+    hits = words.withColumn("term", F.lower("w.value")).join(few, "term", "left_semi")
+    return hits.groupBy("text_key").agg(F.array_sort(F.collect_list("w")).alias("found"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
     """One row per input row: id (or the columns of keep), base and spans (arrays of start, kind, end, value; code
     points, end exclusive), and text with every span generalised if with_text.
 
-    Null text counts as empty and has no span. Spans are ordered by start, then kind. Where spans overlap, the text
-    shows the mark of the first and drops the rest of the others. An empty table gives no rows.
+    Null text counts as empty and has no span. Spans are ordered by start, then kind; a term that touches a base span is
+    none. Where spans overlap, the text shows the mark of the first and drops the rest of the others. Rows that repeat an
+    id or a text get a result each, equal ones for equal texts. An empty table gives no rows.
     """
     kept = [F.col(c).alias(f"_{c}") for c in keep if c != text_col] if keep else [F.col(id_col).alias("id")]
-    rows = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    names = rows.columns[:-1]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(*kept, text.alias("text"), F.md5(text.cast("binary")).alias("text_key"))
+    names = rows.columns[:-2]
     found = with_base_spans(rows)
-    facts = save(with_plain(found).select(*([] if with_text else names), "spans", contexts().alias("near"), F.md5(F.col("text").cast("binary")).alias("text_key")), "pii-facts")
-    terms = save(revealing_terms(facts, rows), "pii-terms")
+    facts = save(found.select(*([] if with_text else names), "text_key", "spans", entities().alias("entities")), "pii-facts")
+    plain = with_plain(found).withColumnRenamed("_plain", "plain")
+    terms = save(revealing_terms(facts, plain.select("text_key", "text", "plain")), "pii-terms")
     if terms.isEmpty():
         out = (found if with_text else facts).withColumn("base", F.col("spans"))
     else:
-        # Terms of each text: few words, as they are rare beside their entity. Only (text key, term) rows are shuffled.
-        keyed = found.withColumn("_key", F.md5(F.col("text").cast("binary")))
-        hits = save(words_of(keyed.select("_key", "text"), "_key").join(small(terms), "term").distinct(), "pii-hits")
-        of = save(hits.groupBy("_key").agg(F.array_sort(F.collect_set("term")).alias("_terms")), "pii-of")
-        few = hits.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-        keyed = keyed.join(F.broadcast(of) if few else of, "_key", "left")
-        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.concat_ws("|", "_terms"), F.lit(r")(?![\p{L}\p{N}])"))
-        holds = F.col("_terms").isNotNull()
-        keyed = keyed.withColumn("_pattern", F.when(holds, pattern).otherwise(r"\A(?!\A)"))
-        keyed = with_matches(keyed, "_term", F.col("_pattern"), holds, KINDS.index("term"))
-        clear = F.filter("_term", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-        out = keyed.select(*names, "text", F.array_sort(F.concat("spans", clear)).alias("spans"), F.col("spans").alias("base"))
+        of = save(term_spans(rows.select("text_key", "text"), terms), "pii-of")
+        out = (found if with_text else facts).join(small(of), "text_key", "left")
+        clear = F.filter("found", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+        out = out.withColumn("base", F.col("spans")).withColumn("spans", F.array_sort(F.concat("spans", F.coalesce(clear, F.array().cast(SPANS)))))
     shown = [F.col(n).alias(n.removeprefix("_")) for n in names]
     if not with_text:
         return out.select(*shown, "base", "spans")
