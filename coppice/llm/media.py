@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, save
+from .common import join_hot, prepare, save
 
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -173,15 +173,17 @@ def sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, items {ITEMS}")
 
 
-def resolve(items: DataFrame, store: DataFrame) -> DataFrame:
+def resolve(items: DataFrame, store: DataFrame, uses: str | None = None) -> DataFrame:
     """One row per item: id, position, kind, text (of media: the caption), digest, bytes and the store's other columns,
-    null for text and for digests that the store lacks. The store has one row for each digest."""
+    null for text and for digests that the store lacks. The store has one row for each digest and, in the column `uses`
+    if named, about how many references it has, so that those to one digest need not meet in one task."""
     rows = items.select("id", F.explode("items").alias("i")).select("id", "i.*")
-    return rows.join(store.hint("merge"), "digest", "left")
+    return join_hot(rows, store, ["digest"], uses) if uses else rows.join(store.hint("merge"), "digest", "left")
 
 
 def written(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each document as a page with its text as a figure: (id, html, digest, media), written to the shared folder."""
+    """Each document as a page with its text as a figure under its first words: (id, html, digest, media), written to the
+    shared folder."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -189,12 +191,12 @@ def written(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for b in batches:
             pages, digests, media = [], [], []
-            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for text in b.column("text").to_pylist():
                 stored = encode_media(payload_of(text))
                 digest = hashlib.sha256(stored).hexdigest()
                 size = len((text or "").encode("utf-8", "surrogatepass"))
-                name = html.escape(f"document {i}")
-                pages.append(f'<article><h1>{name}</h1><figure><img src="sha256:{digest}" data-bytes="{size}"><figcaption>{name} as samples</figcaption></figure></article>')
+                title = html.escape(" ".join((text or "").split(None, 8)[:8]))
+                pages.append(f'<article><h1>{title}</h1><figure><img src="sha256:{digest}" data-bytes="{size}"><figcaption>{size} bytes as samples</figcaption></figure></article>')
                 digests.append(digest)
                 media.append(stored)
             yield pa.record_batch([b.column("id"), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["id", "html", "digest", "media"])
@@ -206,7 +208,7 @@ STORED = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 l
 
 
 def described(store: DataFrame) -> DataFrame:
-    """One row for each digest of (digest, media): what the stored bytes hold, read back."""
+    """One row for each digest of (digest, media): what the stored bytes hold, read back, and the rows (uses)."""
     names = [x.split()[0] for x in STORED.split(", ")]
 
     def run(batches):
@@ -219,7 +221,7 @@ def described(store: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], pa.schema([(n, pa.int64() if x.endswith(" long") else pa.string()) for n, x in zip(names, STORED.split(", "), strict=True)]))
 
     rows = store.select("digest", "media").mapInArrow(run, STORED)
-    return save(rows.groupBy("digest").agg(*(F.max(n).alias(n) for n in names[1:])), "media-described")
+    return save(rows.groupBy("digest").agg(*(F.max(n).alias(n) for n in names[1:]), F.count("*").alias("uses")), "media-described")
 
 
 def media_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +232,7 @@ def media_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a null or repeated id keep a row each. An empty table gives no rows.
     """
     store = written(docs, id_col, text_col)
-    found = resolve(sequences(store, "id", "html"), described(store)).filter("kind = 'image'")
+    found = resolve(sequences(store, "id", "html"), described(store), "uses").filter("kind = 'image'")
     return found.select(
         F.col("id").alias(id_col),
         F.col("bytes").alias("n_bytes"),
