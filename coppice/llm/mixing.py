@@ -46,17 +46,39 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return out.withColumn("target", F.least("cap", F.col("w") * F.coalesce("t", F.lit(float("inf"))))).select("source", "size", "n", "target")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `again`: 0 for the first row of its key, then 1, 2 and so on. Rows are counted within the parts that
+    they are saved in, then parts before each other, so that no task gets all rows of a key."""
+    part = F.shiftright("row", 33)
+    parts = rows.groupBy(key, part.alias("part")).agg(F.count("*").alias("n"))
+    more = parts.groupBy(key).agg(F.sum("n").alias("all")).filter("all > 1")
+    parts = parts.join(more, key).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = rows.withColumn("part", part).join(parts, [key, "part"])
+    again = F.col("before") + F.row_number().over(Window.partitionBy(key, "part").orderBy("row")) - 1
+    return rows.join(own.select("row", again.alias("again")), "row", "left").withColumn("again", F.coalesce("again", F.lit(0)))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", draw_col: str | None = None) -> DataFrame:
     """One row per input row: id, size (words), source_size, target, taken (words the mix takes, repeats counted).
 
-    Null and wordless texts have size 0 and take nothing. Null sources are one source, the last. Rows of equal id and
-    text are placed one after another, in either order. A source of size 0 has target 0. An empty table gives no rows.
+    draw_col: what a row's place is drawn by; the id unless given, or the text of a row without one. Rows that are drawn
+    alike get places of their own, in any order. Null and wordless texts have size 0 and take nothing. Null sources are
+    one source, the last. A source of size 0 has target 0. An empty table gives no rows.
     """
     text = F.col(text_col).cast("string")
-    draw = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
-    key = F.conv(F.substring(F.md5(draw.cast("binary")), 1, 15), 16, 10).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), word_count(text).alias("size"), F.col(source_col).alias("source"), key.alias("key"))
+    draw = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(draw_col or id_col).cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+    def place(draw):
+        return F.conv(F.substring(F.md5(draw.cast("binary")), 1, 15), 16, 10).cast("long")
+
+    rows = docs.select(F.col(id_col).alias("id"), word_count(text).alias("size"), F.col(source_col).alias("source"), place(draw).alias("key"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = save(rows, "mix-rows")
+    # A row that is drawn like others gets a key of its own for each of them but the first.
+    if not rows.groupBy("key").count().filter("count > 1").isEmpty():
+        later = place(F.concat_ws(":", F.col("key").cast("string"), F.col("again").cast("string")))
+        rows = save(numbered(rows, "key").withColumn("key", F.when(F.col("again") > 0, later).otherwise(F.col("key"))).drop("again"), "mix-places")
+    rows = rows.drop("row")
     shares = targets(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), weights)
     shares = shares.withColumn("ranges", F.least(F.ceil(F.col("n") / RANGE), F.lit(MOST_RANGES)).cast("long"))
     shares = save(shares.withColumnRenamed("size", "source_size"), "mix-sources")
@@ -96,8 +118,10 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_co
 
 #: The query over documents in DuckDB's SQL. Few sources fill up, so resharing them takes a few rounds of recursion.
 ORACLE = r"""
-WITH RECURSIVE rows AS (SELECT row_number() OVER () AS rn, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS key FROM documents),
+WITH RECURSIVE drawn AS (SELECT row_number() OVER () AS rn, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 15))::BIGINT AS first FROM documents),
+again AS (SELECT *, row_number() OVER (PARTITION BY first ORDER BY rn) - 1 AS again FROM drawn),
+rows AS (SELECT rn, doc_id, source, size, CASE WHEN again = 0 THEN first ELSE ('0x' || substr(md5(first || ':' || again), 1, 15))::BIGINT END AS key FROM again),
 src AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM rows GROUP BY source),
 fill(round, source, source_size, w, target, full_up) AS (
   SELECT 0, source, source_size, w, 0.0::DOUBLE, false FROM src UNION ALL
