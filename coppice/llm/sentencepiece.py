@@ -74,22 +74,21 @@ class Codec:
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the segmentation of greatest score. Ties: the longer last piece, then the lower id."""
-        n = len(text)
-        best, back = [0.0] + [None] * n, [None] * (n + 1)
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for end, found in self.automaton.iter(text):  # a pass over the text; output links give all that end here
-            ends[end + 1].append(found)
-        for end in range(1, n + 1):
-            top, how = best[end - 1] + self.worst, (1, None)
-            for length, score, i in ends[end]:
-                s = best[end - length] + score
-                if s > top or (s == top and (length, -i) > (how[0], -(how[1] or 0))):
-                    top, how = s, (length, i)
-            best[end], back[end] = top, how
+        n, worst = len(text), self.worst
+        best, back = [0.0] * (n + 1), [(1, -1)] * (n + 1)
+        done = 0  # positions up to here have been reached; those before are final
+        for last, (length, score, i) in self.automaton.iter(text):  # output links give all pieces that end at a position
+            end = last + 1
+            while done < end:
+                done += 1
+                best[done] = best[done - 1] + worst
+            s = best[end - length] + score
+            if s > best[end] or (s == best[end] and (length, -i) > (back[end][0], -back[end][1])):
+                best[end], back[end] = s, (length, i)
         out, end = [], n
         while end:
             length, i = back[end]
-            out.append([i] if i is not None else self._spell(text[end - 1]))
+            out.append([i] if i >= 0 else self._spell(text[end - 1]))
             end -= length
         return [i for part in reversed(out) for i in part]
 
