@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, prepare
+from .common import crc_mod, join_hot, prepare, release, save
 
 #: Buckets of hashed n-grams, for n-grams of one to three characters.
 SIZE, ORDERS = 1 << 12, (1, 2, 3)
@@ -139,42 +139,46 @@ def _sigmoid(m: float) -> float:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str, most: int = SAMPLE) -> tuple[np.ndarray, list[str]]:
-    """Features and languages of at most `most` labelled rows, the same number at most of each language."""
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null")
-    # Different texts with a letter are counted, as they are what is drawn: copies do not thin out a language.
-    texts = rows.filter(F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("text")).distinct()
-    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
-    langs = list(counts)
-    if not langs:
-        return np.zeros((0, SIZE), np.float32), []
-    each = max(1, most // len(langs))
-    share = F.coalesce(*(F.when(F.col("lang") == n, F.lit(min(1.0, 1.1 * each / counts[n]))) for n in langs))
-    drawn = (F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)) / (1 << 20)) < share
+    """Features and languages of at most `most` labelled texts, the same number at most of each language but one at least;
+    the same ones in every run, in the same order. Of copies one takes part."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("hash", F.xxhash64("text", F.lit(11)))
+    # Different texts are counted, as they are what is drawn: copies do not thin out a language.
+    texts = save(rows.select("lang", "hash").distinct(), "language-texts")
+    counts = save(texts.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    each = max(1, most // max(1, counts.count()))
+    # A draw by hash leaves few of a frequent language; of these the least hashes are taken.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "hash"))
+    draw = F.pmod(F.xxhash64("hash"), F.lit(1 << 40))
+    near = join_hot(texts, counts, ["lang"], "n", "inner").withColumn("draw", draw).filter(F.col("draw") * F.col("n") < float(1 << 40) * (each + 6 * each**0.5 + 10))
+    drawn = near.withColumn("place", place).filter(F.col("place") <= each).select("lang", "hash")
 
     def run(batches):
         for b in batches:
             x = [features(t) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("lang"), pa.array([None if v is None else v.astype(np.float32).tobytes() for v in x], pa.binary())], ["lang", "x"])
+            yield pa.record_batch([b.column("lang"), b.column("hash"), pa.array([None if v is None else v.astype(np.float32).tobytes() for v in x], pa.binary())], ["lang", "hash", "x"])
 
-    got = rows.filter(drawn).dropDuplicates(["text", "lang"]).mapInArrow(run, "lang string, x binary").filter("x is not null").limit(2 * most).toArrow()
-    names = got["lang"].to_pylist()
+    chosen = rows.join(F.broadcast(drawn), ["lang", "hash"]).dropDuplicates(["lang", "hash"])  # at most `most` rows, or one a language
+    got = chosen.select("lang", "hash", "text").mapInArrow(run, "lang string, hash long, x binary").filter("x is not null").toArrow()
+    release(texts, counts)
+    names, places = got["lang"].to_pylist(), got["hash"].to_pylist()
     x = np.zeros((len(names), SIZE), np.float32)
     for i, v in enumerate(got["x"]):
         x[i] = np.frombuffer(v.as_buffer(), np.float32)
-    # Rows come in any order; training must not depend on it.
-    order = sorted(range(len(names)), key=lambda i: (names[i], x[i, :64].tobytes()))
+    order = sorted(range(len(names)), key=lambda i: (names[i], places[i]))
     return x[order], [names[i] for i in order]
 
 
 def identify_language(docs: DataFrame, model: dict, keep: list, text_col: str = "text") -> DataFrame:
     """The columns `keep` (expressions) of each row, with lang_pred and score in 0..1 (higher: surer).
 
-    Null texts and those without a letter give und and 0. Any length is read whole. An empty table gives no rows.
+    Null texts and those without a letter give und and 0. Any length is read whole. Rows that repeat an id or a text get
+    a prediction each, equal ones for equal texts. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     names = rows.columns[:-1]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE languages; 32 kB a machine
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 32 kB a machine
 
     def run(batches):
         m = shared.value
