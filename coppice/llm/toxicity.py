@@ -13,6 +13,7 @@ import math
 import re
 import uuid
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,21 @@ ORDER, DISCOUNT = 6, 0.75
 #: Bound of the labelled rows the class models (four fifths) and the calibration (one fifth) are fitted on. The shared
 #: backoff counts cover all documents.
 SAMPLE = 100_000
+#: Tokens that a worker remembers before it starts afresh.
+MET = 800_000
 #: Words longer than this are modelled by pieces of this length.
 PIECE = 40
 WORD = re.compile(r"[^\W\d_]+")
 START, END = "\x02", "\x03"
 
 
+def tokens_of(text: str | None) -> list[str]:
+    """The text between blanks, lower-cased. A word never goes on over a blank, so a token's words are the text's."""
+    return (text or "").lower().split()
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    return [w for t in tokens_of(text) for w in WORD.findall(t)]
 
 
 def spelled(word: str) -> list[str]:
@@ -44,7 +52,8 @@ def spelled(word: str) -> list[str]:
 
 def grams(piece: str) -> list[str]:
     """For each character after the start mark, the n-gram of up to ORDER characters that ends with it."""
-    return [piece[max(0, i - ORDER + 1) : i + 1] for i in range(1, len(piece))]
+    short = [piece[: i + 1] for i in range(1, min(ORDER, len(piece)))]
+    return short + [piece[i : i + ORDER] for i in range(1, len(piece) - ORDER + 1)]
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -69,7 +78,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                tallies[bool(label)].update(set(words_of(text)))
+                tallies[bool(label)].update({w for t in set(tokens_of(text)) for w in WORD.findall(t)})
             if sum(map(len, tallies)) > 600_000:
                 yield from flush()
         yield from flush()
@@ -85,7 +94,7 @@ def count_types(docs: DataFrame, histories: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(histories.toArrow()["history"].to_pylist()))
 
     def run(batches):
-        known, seen, found = shared.value, set(), set()
+        known, met, seen, found = shared.value, set(), set(), set()
 
         def flush():
             names = list(found)
@@ -95,7 +104,9 @@ def count_types(docs: DataFrame, histories: DataFrame) -> DataFrame:
 
         for b in batches:
             for text in b.column("text").to_pylist():
-                new = set(words_of(text)) - seen
+                tokens = set(tokens_of(text)) - met
+                met |= tokens
+                new = {w for t in tokens for w in WORD.findall(t)} - seen
                 seen |= new
                 for word in new:
                     for piece in spelled(word):
@@ -105,7 +116,8 @@ def count_types(docs: DataFrame, histories: DataFrame) -> DataFrame:
                             while start > least and piece[start - 1 : i] in known:
                                 start -= 1
                             found.add(piece[start - 1 : i + 1])
-            if len(seen) > 600_000:
+            if len(met) > 600_000:
+                met.clear()
                 seen.clear()
             if len(found) > 600_000:
                 yield from flush()
@@ -231,45 +243,61 @@ class Model:
 FEATURES = 3
 
 
-def document_features(words: list[str], evidence: list[float]) -> list[float]:
-    """Log-likelihood under the toxic model less that under the ordinary one, over the length: of the whole text, of the
-    word where it is greatest, and the mean of the three such words. 0 without a word."""
-    if not words:
+def document_features(each: np.ndarray, lengths: np.ndarray) -> list[float]:
+    """From the evidence of each word and its length: log-likelihood under the toxic model less that under the ordinary one,
+    over the length, of the whole text, of the word where it is greatest, and the mean of the three such words. 0 without
+    a word."""
+    if not len(each):
         return [0.0] * FEATURES
-    lengths = np.fromiter(map(len, words), float, len(words)) + 1
-    each = np.array(evidence)
     top = np.partition(each, -3)[-3:] if len(each) > 3 else each
     return [float(each @ lengths / lengths.sum()), float(each.max()), float(top.mean())]
 
 
 class Evidence:
-    """The evidence of words from the ratios of their n-grams, and of a bounded number of words met.
+    """The evidence of words from the ratios of their n-grams, and of a bounded number of tokens met.
     ratios: of n-grams that a class has counted, and by history of all others."""
 
     def __init__(self, ratios: tuple[dict[str, float], dict[str, float]]):
         self.own, self.other = ratios
-        self.known: dict[str, float] = {}
+        self.words: dict[str, float] = {}
+        self.tokens = Tokens(self)
 
     def evidence(self, word: str) -> float:
-        total = length = 0
+        own, other, total, length = self.own, self.other, 0.0, 0
         for piece in spelled(word):
             length += len(piece) - 1
             for g in grams(piece):
-                r = self.own.get(g)
-                total += self.other.get(g[:-1], 0.0) if r is None else r
+                r = own.get(g)
+                total += other.get(g[:-1], 0.0) if r is None else r
         return total / max(1, length)
 
     def __call__(self, words: list[str]) -> list[float]:
-        known = self.known
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            if len(known) > 400_000:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.evidence(w)
-            return [known[w] for w in words]
+        return [self.evidence(w) for w in words]
+
+    def of_text(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Evidence and length (its end counts as a character) of each word of the text."""
+        if len(self.tokens) > MET:
+            self.tokens.clear()
+            self.words.clear()
+        found = np.fromiter(chain.from_iterable(map(self.tokens.__getitem__, tokens_of(text))), np.float64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
+
+class Tokens(dict):
+    """token -> evidence and length of each of its words, one after another; unknown ones are added."""
+
+    def __init__(self, evidence: Evidence):
+        self.of = evidence
+
+    def __missing__(self, token: str) -> tuple[float, ...]:
+        out: tuple[float, ...] = ()
+        words = self.of.words
+        for w in [token] if token.isalpha() else WORD.findall(token):
+            if (e := words.get(w)) is None:
+                e = words[w] = self.of.evidence(w)
+            out += (e, len(w) + 1)
+        self[token] = out
+        return out
 
 
 def collected(ratios: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
@@ -289,8 +317,7 @@ def _scored(shared, weights, names):
         for b in batches:
             rows = []
             for text in b.column("_text").to_pylist():
-                words = words_of(text)
-                rows.append(document_features(words, evidence(words)))
+                rows.append(document_features(*evidence.of_text(text)))
             x = np.array(rows).reshape(-1, FEATURES)
             out = [b.column(n) for n in names]
             if weights is None:
