@@ -11,7 +11,7 @@ wherever they occur.
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save
@@ -137,10 +137,19 @@ def revealing_terms(facts: DataFrame, rows: DataFrame) -> DataFrame:
     words = save(words_of(beside, F.col("plain"), "text_key").distinct(), "pii-words")
     most = words.groupBy("term").agg(F.count("*").alias("beside")).filter("beside > 1")
     terms = save(most, "pii-terms-beside")
-    seen = words_of(rows, F.col("text"), "text_key").join(small(terms), "term").groupBy("term", "text_key").agg(F.max("beside").alias("beside"))
-    seen = seen.groupBy("term").agg(F.count("*").alias("documents"), F.max("beside").alias("beside"))
-    # Both hold for every term that reaches the share and the bits with some entity.
-    seen = save(seen.filter((F.col("beside") >= SHARE * F.col("documents")) & (F.col("documents") <= total / 2**BITS / SHARE)), "pii-seen")
+
+    def counted(texts, terms):
+        """terms with their number of texts, if it lets them reach the share and the bits with some entity."""
+        found = words_of(texts, F.col("text"), "text_key").join(small(terms), "term").groupBy("term", "text_key").agg(F.max("beside").alias("beside"))
+        found = found.groupBy("term").agg(F.count("*").alias("documents"), F.max("beside").alias("beside"))
+        return found, (F.col("beside") >= SHARE * F.col("documents")) & (F.col("documents") <= total / 2**BITS / SHARE)
+
+    # A term has at least the texts that a part of the corpus shows: too many there are too many in all. So common words
+    # are ruled out before those of the whole corpus are dealt out by term.
+    part, rare = counted(rows.filter(F.pmod(F.xxhash64("text_key"), F.lit(16)) == 0), terms)
+    terms = save(terms.join(part.filter(~rare).select("term"), "term", "left_anti"), "pii-terms-rare")
+    seen, rare = counted(rows, terms)
+    seen = save(seen.filter(rare), "pii-seen")
     pairs = words.join(small(seen.select("term", "documents")), "term").join(held, "text_key")
     found = pairs.groupBy("term", "entity").agg(F.count("*").alias("texts"), F.max("documents").alias("documents"), F.max("holders").alias("holders"))
     share = F.least(F.lit(1.0), F.col("texts") / F.col("documents"))
@@ -178,7 +187,14 @@ def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     few = small(terms)
     keys = save(words_of(rows, F.col("text"), "text_key").join(few, "term", "left_semi").select("text_key").distinct(), "pii-keys")
     texts = rows.join(small(keys), "text_key", "left_semi").dropDuplicates(["text_key"])
-    words = with_matches(texts, "_words", F.lit(TERM), F.lit(True), KINDS.index("term")).select("text_key", F.explode("_words").alias("w"))
+    # Words have their places by running sums of the lengths of words and of what stands between them.
+    steps = texts.select("text_key", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("_found"), F.split("text", TERM, -1).alias("_gaps"))
+    steps = steps.select("text_key", F.posexplode(F.arrays_zip("_gaps", "_found")).alias("_at", "_step")).filter("_step._found is not null")
+    upto = Window.partitionBy("text_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.length("_step._gaps") + F.length("_step._found")).over(upto).cast("int")
+    words = steps.select("text_key", end.alias("end"), F.col("_step._found").alias("value"))
+    span = F.struct((F.col("end") - F.length("value")).alias("start"), F.lit(KINDS.index("term")).alias("kind"), "end", "value")
+    words = words.select("text_key", span.alias("w"))
     hits = words.withColumn("term", F.lower("w.value")).join(few, "term", "left_semi")
     return hits.groupBy("text_key").agg(F.array_sort(F.collect_list("w")).alias("found"))
 
