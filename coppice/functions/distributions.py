@@ -40,6 +40,8 @@ class Distribution:
     task = "regression"
     #: The parameter that an exposure multiplies, and the sign of its log in link space; None: no exposure.
     exposure: tuple[str, int] | None = None
+    #: Whether the Fisher information is the mean square of the gradients over all rows.
+    empirical = False
 
     def params(self, raw) -> dict:
         """Linked parameters from raw ones, in order."""
@@ -318,7 +320,7 @@ class Tweedie(Distribution):
                 jj = np.maximum(j, 1)
                 t = np.where(ok, jj * np.log(lam) - lgamma(jj + 1) + shape * jj * np.log(ys / th) - lgamma(shape * jj) - np.log(ys) - ys / th, -np.inf)
                 new = np.maximum(top, t)
-                total = total * np.exp(np.where(np.isfinite(top), top - new, 0)) + np.exp(np.where(np.isfinite(t), t - new, -np.inf))
+                total = total * np.exp(np.where(np.isfinite(top), np.where(np.isfinite(top), top, 0) - np.where(np.isfinite(new), new, 0), 0)) + np.exp(np.where(np.isfinite(t), t, -np.inf) - np.where(np.isfinite(new), new, 0))
                 top = new
             out[some] = lam - top - np.log(total)
         return out
@@ -407,6 +409,7 @@ class CustomDistribution(Distribution):
     variance_fn: Callable | None = None
     init_fn: Callable | None = None
     eps: float = 1e-5
+    empirical = True
 
     def __post_init__(self):
         self.names, self.links = tuple(self.param_names), tuple(self.link_functions)
@@ -427,7 +430,11 @@ class CustomDistribution(Distribution):
         return out
 
     def fisher(self, p, y=None):
-        return [np.full(len(g), max(float(np.mean(g * g)), 1e-6)) for g in self.gradient(y, p)]
+        """Of arrays that hold all rows. Training sums the squares over all blocks instead; Columns need an aggregate."""
+        g = self.gradient(y, p)
+        if any(isinstance(x, Column) for x in g):
+            raise TypeError("aggregate the squares of gradient(): the Fisher information is their mean over all rows")
+        return [np.full(len(x), max(float(np.mean(x * x)), 1e-6)) for x in g]
 
     def nll(self, y, p):
         return self.nll_fn(y, p)

@@ -6,12 +6,16 @@ that no metric gathers its rows in one task.
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ops import clip, normal_cdf
+from .quantiles import quantile
 
 
 def _mean(e: Column, w: Column | None) -> Column:
@@ -81,10 +85,10 @@ def crps_empirical(y: Column, samples: Column, w: Column | None = None) -> Colum
     return _mean(near - spread, w)
 
 
-def evaluate_coverage(y: Column, lower: Column, upper: Column) -> list[Column]:
-    """coverage, mean_width, median_width."""
+def evaluate_coverage(y: Column, lower: Column, upper: Column, rows: int = 0) -> list[Column]:
+    """coverage, mean_width, median_width (of tables of more than EXACT_ROWS `rows` by a sketch)."""
     width = upper - lower
-    return [F.avg(((y >= lower) & (y <= upper)).cast("double")).alias("coverage"), F.avg(width).alias("mean_width"), F.percentile(width, 0.5).alias("median_width")]
+    return [F.avg(((y >= lower) & (y <= upper)).cast("double")).alias("coverage"), F.avg(width).alias("mean_width"), quantile(width, 0.5, rows).alias("median_width")]
 
 
 def confusion(df: DataFrame, y: Column, p: Column, w: Column | None = None) -> DataFrame:
@@ -133,7 +137,8 @@ def roc_auc(df: DataFrame, y: Column, p: Column, w: Column | None = None) -> Dat
     one = F.lit(1.0) if w is None else w
     by = df.select(p.cast("double").alias("s"), y.cast("double").alias("y"), one.alias("w")).groupBy("s")
     by = by.agg(F.sum(F.when(F.col("y") > 0, F.col("w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("y") > 0, 0.0).otherwise(F.col("w"))).alias("neg"))
-    by = by.withColumn("range", F.floor(F.col("s") * 256))
+    # Ranges hold about as many scores each, whatever their scale; there are as many as partitions.
+    by = by.repartitionByRange("s").withColumn("range", F.spark_partition_id())
     inside = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     parts = by.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0.0)))
     ranges = parts.groupBy("range").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("own"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -159,7 +164,7 @@ def calibration_curve(df: DataFrame, y: Column, p: Column, n_bins: int = 10, str
     edges = None
     if strategy == "quantile":
         at = [i / n_bins for i in range(n_bins + 1)]
-        edges = df.agg(F.percentile(p, at)).first()[0]
+        edges = df.agg(quantile(p, at, df.count())).first()[0]
     elif strategy != "uniform":
         raise ValueError(f"unknown strategy {strategy!r}")
     rows = df.select(y.cast("double").alias("y"), p.alias("p"), probability_bin(p, n_bins, edges).alias("bin"))
@@ -191,48 +196,74 @@ def pit_histogram(df: DataFrame, pit: Column, n_bins: int = 20) -> DataFrame:
     return every.join(own, "bin", "left").select("bin", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
-def ks_statistic(df: DataFrame, pit: Column, grid: int = 4096) -> tuple[float, float]:
-    """Kolmogorov-Smirnov distance of PIT values from the uniform distribution, on a grid, and its p-value."""
-    counts = dict(df.select(F.least(F.lit(grid - 1), F.floor(pit * grid)).cast("int").alias("b")).groupBy("b").count().collect())  # grid rows at most
-    n, seen, worst = sum(counts.values()), 0, 0.0
-    for b in range(grid):
-        worst = max(worst, abs(seen / n - b / grid)) if n else 0.0
-        seen += counts.get(b, 0)
-        worst = max(worst, abs(seen / n - (b + 1) / grid)) if n else 0.0
-    x = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * worst if n else 0.0
+def ks_statistic(df: DataFrame, pit: Column) -> tuple[float, float]:
+    """Kolmogorov-Smirnov distance of PIT values from the uniform distribution, exactly, and its p-value. Values are
+    grouped, and counted in ranges first, so that no task sees all of them."""
+    by = df.select(pit.cast("double").alias("u")).filter("u is not null").groupBy("u").agg(F.count("*").alias("n"))
+    by = by.withColumn("range", F.floor(F.col("u") * 4096))
+    within = F.sum("n").over(Window.partitionBy("range").orderBy("u").rowsBetween(Window.unboundedPreceding, 0))
+    steps = by.withColumn("upto", within)
+    totals = by.groupBy("range").agg(F.sum("n").alias("all"))
+    before = totals.withColumn("before", F.sum("all").over(Window.orderBy("range")) - F.col("all")).drop("all")  # 4097 rows
+    n = int(by.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    if not n:
+        return 0.0, 1.0
+    end = F.col("before") + F.col("upto")
+    far = F.greatest(end / n - F.col("u"), F.col("u") - (end - F.col("n")) / n)
+    worst = float(steps.join(F.broadcast(before), "range").agg(F.max(far)).first()[0])
+    x = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * worst
     p = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)) if x > 0.2 else 1.0
     return worst, min(1.0, max(0.0, p))
 
 
+def pit_uniformity(df: DataFrame, pit: Column, n_bins: int = 20) -> tuple[list[float], list[int], float, float]:
+    """(edges, counts, statistic, p): pit_histogram() and ks_statistic() at once."""
+    counts = [r["count"] for r in sorted(pit_histogram(df, pit, n_bins).collect(), key=lambda r: r["bin"])]
+    return [i / n_bins for i in range(n_bins + 1)], counts, *ks_statistic(df, pit)
+
+
 def reliability_diagram(df: DataFrame, pit: Column, n_bins: int = 10) -> DataFrame:
-    """(nominal, observed): the share of PIT values at or below each level."""
-    levels = [(i + 1) / n_bins for i in range(n_bins)]
+    """(nominal, observed): the share of PIT values at or below each level, the middles of n_bins equal parts of 0..1."""
+    levels = [(i + 0.5) / n_bins for i in range(n_bins)]
     row = df.agg(F.array(*(F.struct(F.lit(q).alias("nominal"), F.avg((pit <= q).cast("double")).alias("observed")) for q in levels)).alias("a"))
     return row.select(F.explode("a").alias("s")).select("s.*")
 
 
 class PITRecalibrator:
-    """A monotone map of 0..1 onto 0..1, piecewise linear between fitted points."""
+    """A monotone map of 0..1 onto 0..1, piecewise linear between fitted points and level beyond them."""
 
     def __init__(self, xs: list[float], ys: list[float]):
         self.xs, self.ys = xs, ys
 
     @classmethod
-    def fit(cls, df: DataFrame, pit: Column, points: int = 200) -> PITRecalibrator:
-        """From PIT values of a calibration set: their quantiles against even levels, which are monotone already."""
+    def fit(cls, df: DataFrame, pit: Column, points: int = 2000) -> PITRecalibrator:
+        """Isotonic regression of even plotting positions, (rank - 1/2) / n, on the PIT values of a calibration set, which
+        are monotone already but for ties, that share their mean. Of more than `points` different values, so many
+        quantiles take part."""
+        rows = df.select(pit.cast("double").alias("u")).filter("u is not null")
+        n = rows.count()
+        if n < 2:
+            raise ValueError(f"at least 2 calibration values are needed, not {n}")
+        found = rows.groupBy("u").agg(F.count("*").alias("n")).limit(points + 1).collect()
+        if len(found) <= points:
+            found.sort(key=lambda r: r["u"])
+            ends = list(itertools.accumulate(r["n"] for r in found))
+            return cls([float(r["u"]) for r in found], [(e - r["n"] / 2) / n for e, r in zip(ends, found, strict=True)])
         levels = [(i + 0.5) / points for i in range(points)]
-        row = df.agg(F.percentile(pit, levels)).first()[0] or []
-        xs, ys = [0.0], [0.0]
-        for x, y in zip(row, levels, strict=False):
-            if x > xs[-1]:
-                xs.append(float(x))
-                ys.append(y)
-            else:
-                ys[-1] = max(ys[-1], y) if xs[-1] > 0 else ys[-1]
-        return cls([*xs, max(1.0, xs[-1] + 1e-9)], [*ys, 1.0])
+        merged: dict[float, list[float]] = {}
+        for x, y in zip(rows.agg(quantile(F.col("u"), levels, n)).first()[0], levels, strict=True):
+            merged.setdefault(float(x), []).append(y)
+        return cls(list(merged), [sum(y) / len(y) for y in merged.values()])
+
+    def transform(self, values) -> np.ndarray:
+        return np.clip(np.interp(np.asarray(values, float), self.xs, self.ys), 0.0, 1.0)
 
     def column(self, pit: Column) -> Column:
-        out = F.lit(1.0)
-        for x0, x1, y0, y1 in reversed(list(zip(self.xs, self.xs[1:], self.ys, self.ys[1:], strict=False))):
-            out = F.when(pit <= x1, y0 + (pit - x0) * ((y1 - y0) / (x1 - x0))).otherwise(out)
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), out))
+        """transform() of a Column: the two points around each value are found by binary search over the fitted ones."""
+        xs, ys = self.xs, self.ys
+
+        @F.pandas_udf("double")
+        def mapped(u: pd.Series) -> pd.Series:
+            return pd.Series(np.clip(np.interp(u, xs, ys), 0.0, 1.0)).where(u.notna().to_numpy())
+
+        return mapped(pit.cast("double"))

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import kth_smallest
+
 
 class SamplingStrategy(Enum):
     NONE = "none"
@@ -67,6 +69,10 @@ def uniform(ids: np.ndarray, *seed: int) -> np.ndarray:
     return (x >> np.uint64(11)) / float(1 << 53)
 
 
+#: Hash ranges that the rows of a label are numbered in.
+FOLD_RANGES = 4096
+
+
 def random_sample(df: DataFrame, id_col: str, rate: float, seed: int = 0) -> DataFrame:
     """max(1, int(n * rate)) rows exactly, those of the smallest seeded hash. A total order is only taken of the rows
     near the cut: the others are told apart by their hash alone."""
@@ -83,7 +89,7 @@ def goss_sample(df: DataFrame, grad: str, id_col: str, config: GOSSConfig) -> Da
     """df with a column goss_weight: int(n * top_rate) rows of largest |gradient| at weight 1 and int(rest * other_rate)
     of the rest, by seeded hash, at the configured weight; other rows are left out. Ties go by id.
 
-    Only the cuts are global: each is found by an exact quantile of one column and settled among its ties.
+    Only the cuts are global: each is found by counting passes over one column and settled among its ties.
     """
     n = df.count()
     top = int(n * config.top_rate)
@@ -102,11 +108,13 @@ def _cut(df: DataFrame, key: str, id_col: str, keep: int, flag: str) -> DataFram
         return df.withColumn(flag, F.lit(False))
     if keep >= n:
         return df.withColumn(flag, F.col(key).isNotNull())
-    at = df.agg(F.percentile(key, (keep - 1) / (n - 1) if n > 1 else 0.0)).first()[0]
-    cut = df.filter(F.col(key) <= at + abs(at) * 1e-12).agg(F.max(key)).first()[0]
+    cut = kth_smallest(df, F.col(key), keep)
     below = df.filter(F.col(key) < cut).count()
-    ties = df.filter(F.col(key) == cut).select(id_col).orderBy(id_col).limit(keep - below)
-    last = ties.agg(F.max(id_col)).first()[0]
+    ties = df.filter(F.col(key) == cut)
+    equal = ties.count()
+    last = None if equal == keep - below else ties.select(id_col).orderBy(id_col).limit(keep - below).agg(F.max(id_col)).first()[0]
+    if equal == keep - below:
+        return df.withColumn(flag, F.coalesce(F.col(key) <= cut, F.lit(False)))
     own = F.col(key) < cut if last is None else (F.col(key) < cut) | ((F.col(key) == cut) & (F.col(id_col) <= F.lit(last)))
     return df.withColumn(flag, F.coalesce(own, F.lit(False)))
 
@@ -123,11 +131,17 @@ def apply_sampling(df: DataFrame, strategy: str | SamplingStrategy, *, grad: str
 
 
 def stratified_folds(df: DataFrame, label: str, id_col: str, k: int, seed: int = 0) -> DataFrame:
-    """df with a column fold 0..k-1, in equal shares within each label. Rows are numbered within (label, hash range),
-    so that a frequent label does not meet in one task."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 20))
-    w = Window.partitionBy(label, (u % 64)).orderBy(u, id_col)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1 + u % 64, F.lit(k)).cast("int"))
+    """df with a column fold 0..k-1: of the rows of a label, fold f has those numbered f, f + k, f + 2k and so on in the
+    order of a seeded hash. They are numbered within (label, hash range) first, then ranges before each other, so that a
+    frequent label does not meet in one task."""
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(FOLD_RANGES << 20))
+    rows = df.withColumns({"_u": u, "_range": F.floor(u / (1 << 20))})
+    sizes = rows.groupBy(F.col(f"`{label}`").alias("_label"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_label").orderBy("_r")) - F.col("_n")
+    place = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_u", id_col)) - 1
+    sizes = sizes.select("_label", "_r", before.alias("_before"))
+    placed = rows.withColumn("_place", place).join(sizes, F.col(f"`{label}`").eqNullSafe(F.col("_label")) & (F.col("_range") == F.col("_r")))
+    return placed.withColumn("fold", F.pmod(F.col("_place") + F.col("_before"), F.lit(k)).cast("int")).select(*df.columns, "fold")
 
 
 def hashed_folds(df: DataFrame, id_col: str, k: int, seed: int = 0) -> DataFrame:

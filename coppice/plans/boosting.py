@@ -22,8 +22,28 @@ from .callbacks import CallbackManager, TrainingState, warn_without_eval
 
 #: Rounds between two renewals of the cached raw scores.
 RENEW = 20
-#: Bits of |gradient| told apart in one pass of the GOSS cut.
-GOSS_BITS = 16
+#: Bits of a key told apart in one pass of smallest().
+DIGIT = 16
+
+
+def smallest(matrix: Matrix, keys, wanted: int) -> tuple[np.uint32, int, int]:
+    """(cut, how many rows at the cut are among the `wanted` of smallest key, how many there are), in two passes over the
+    bits of the keys. keys(block): 32-bit numbers of the rows that count."""
+    cut, below, there = 0, 0, 0
+    for step in range(2):
+        high = np.uint32(cut)
+
+        def work(block, step=step, high=high):
+            k = keys(block)
+            part = k >> np.uint32(DIGIT) if not step else k[k >> np.uint32(DIGIT) == high] & np.uint32(0xFFFF)
+            yield "n", np.bincount(part, minlength=1 << DIGIT)
+
+        counts = matrix.sums(work, {"n": (1 << DIGIT,)})["n"]
+        upto = np.cumsum(counts)
+        at = min(int(np.searchsorted(upto, wanted - below)), (1 << DIGIT) - 1)
+        below, there = below + (int(upto[at - 1]) if at else 0), int(counts[at])
+        cut = at if not step else (cut << DIGIT) | at
+    return np.uint32(cut), wanted - below, there
 
 
 class TreeModel:
@@ -36,6 +56,8 @@ class TreeModel:
     PARAMS: tuple[str, ...] = ()
     #: Which eval set callbacks watch: the first or the last.
     WATCHED = 0
+    #: Whether rows and features can be sampled.
+    SAMPLES = True
 
     def __init__(self, **params):
         unknown = set(params) - set(self.defaults())
@@ -95,6 +117,8 @@ class TreeModel:
     def fit(self, df: DataFrame, features: list[str], label: str, weight: str | None = None, eval_set: list[DataFrame] | DataFrame | None = None, callbacks=None, id_col: str | None = None, exposure: str | None = None):
         """Train on df. eval_set: DataFrames of the same columns. id_col: a key of the rows, for seeded sampling."""
         eval_set = [eval_set] if isinstance(eval_set, DataFrame) else list(eval_set or [])
+        if not self.SAMPLES and (self.subsample != 1 or self.colsample_bytree != 1 or getattr(self, "subsample_strategy", "none") != "none"):
+            raise ValidationError(f"{type(self).__name__} takes all rows and features; it has no subsample, colsample_bytree or subsample_strategy")
         n = validate_features(df, features)
         validate_label(df, label, self.task, getattr(self, "n_classes", None))
         validate_hyperparameters(self.n_trees, self.max_depth, self.learning_rate, self.min_child_weight, self.reg_lambda, self.subsample, n)
@@ -158,17 +182,17 @@ class TreeModel:
     def _finished(self, matrix, pending, trees, r):
         return trees
 
-    def _round(self, matrix: Matrix, pending: list, r: int, n: int) -> Round:
+    def _round(self, matrix: Matrix, pending: list, r: int, n: int, now=None) -> Round:
+        """What grows the next trees. now: raw scores of a block, of the pending trees unless given."""
+        now = now or (lambda block: scores(block, pending))
         gradient, seed, rate = self._gradient(), self.random_state, self.subsample
-        goss = self._goss_cut(matrix, pending, r, n)
+        goss = self._goss_cut(matrix, now, r, n)
 
         def weighted(block: Block):
-            g, h = gradient(block, scores(block, pending))
+            g, h = gradient(block, now(block))
             w = block.columns["w"]
             if goss:
-                config, cut, share = goss
-                size = np.abs(g).sum(0).astype(np.float32)
-                w = w * np.where(size >= cut, 1.0, np.where(uniform(block.ids, seed, r, 2) < share, config.weight, 0.0))
+                w = w * goss(block, g)
             elif rate < 1:
                 # Rows that are not drawn weigh nothing, but are still routed and predicted.
                 w = w * (uniform(block.ids, seed, r, 1) < rate)
@@ -185,33 +209,42 @@ class TreeModel:
                 allowed.append(mask)
         return Round(matrix, weighted, self._config(), self._outputs(), allowed)
 
-    def _goss_cut(self, matrix, pending, r, n):
-        """(config, least |gradient| of the top part, share of the rest), in two passes over the bits of |gradient|."""
+    def _goss_cut(self, matrix, now, r, n):
+        """None, or a function (block, gradient) -> the factor of each row's weight: 1 for the int(n * top_rate) rows of
+        largest |gradient| (one at least), the configured one for int(rest * other_rate) of the rest, 0 for the others.
+        Ties, and the rest, go by seeded hash."""
         if getattr(self, "subsample_strategy", "none") != "goss":
             return None
         config = GOSSConfig(self.goss_top_rate, self.goss_other_rate, self.random_state, self.goss_correction)
-        gradient = self._gradient()
-
-        def counted(high=None):
-            def work(block):
-                g, _ = gradient(block, scores(block, pending))
-                bits = np.abs(g).sum(0).astype(np.float32).view(np.uint32)
-                top = bits >> np.uint32(GOSS_BITS)
-                part = top if high is None else (bits[top == high] & np.uint32(0xFFFF))
-                yield "n", np.bincount(part, minlength=1 << GOSS_BITS)
-
-            return matrix.sums(work, {"n": (1 << GOSS_BITS,)})["n"]
-
-        wanted = max(1, int(n * config.top_rate))
-        cut, above = 0, 0.0
-        for step in range(2):
-            counts = counted() if not step else counted(cut)
-            down = np.cumsum(counts[::-1])
-            at = int(np.searchsorted(down, wanted - above))
-            above += down[at - 1] if at else 0
-            digit = (1 << GOSS_BITS) - 1 - min(at, (1 << GOSS_BITS) - 1)
-            cut = digit if not step else (cut << GOSS_BITS) | digit
-        return config, np.uint32(cut).view(np.float32), config.other_rate
+        gradient, seed = self._gradient(), self.random_state
+        top = max(1, int(n * config.top_rate))
+        rest = int((n - top) * config.other_rate)
+
+        def size(g):
+            """Large gradients first: the bits of a float sort as it does."""
+            return ~np.abs(g).sum(0).astype(np.float32).view(np.uint32)
+
+        def drawn(block, k):
+            return (uniform(block.ids, seed, r, k) * 2.0**32).astype(np.uint32)
+
+        cut, wanted, there = smallest(matrix, lambda block: size(gradient(block, now(block))[0]), top)
+        last = None
+        if wanted < there:
+            tied = lambda block: drawn(block, 3)[size(gradient(block, now(block))[0]) == cut]
+            last = smallest(matrix, tied, wanted)[0]
+
+        def first(block, g):
+            key = size(g)
+            return key <= cut if last is None else (key < cut) | ((key == cut) & (drawn(block, 3) <= last))
+
+        other = smallest(matrix, lambda block: drawn(block, 2)[~first(block, gradient(block, now(block))[0])], rest)[0] if rest else None
+
+        def factor(block, g):
+            own = first(block, g)
+            more = drawn(block, 2) <= other if other is not None else np.zeros(len(own), bool)
+            return np.where(own, 1.0, np.where(more, config.weight, 0.0))
+
+        return factor
 
     def _loss(self, matrix: Matrix, pending: list) -> float:
         value, now = self._monitored(), list(pending)
@@ -406,7 +439,7 @@ class DART(GradientBoosting):
         manager.begin(state)
         strategy = get_growth_strategy(self.growth)
         rng = np.random.default_rng(self.random_state)
-        weights: list[float] = []
+        weights = self.weights_ = []
         for r in range(self.n_trees):
             state.round_idx, self.round_rate_ = r, self.learning_rate
             manager.round_begin(state)
@@ -427,10 +460,16 @@ class DART(GradientBoosting):
                 state.val_loss = self._loss(watched, now) if watched else None
             if not manager.round_end(state):
                 break
-        self.weights_ = list(weights)
         manager.end(state)
         if self.normalize == "stored":
-            self.trees_.rates = [a * w for a, w in zip(self.trees_.rates, weights, strict=False)]
+            self.trees_.rates = [a * w for a, w in zip(self.trees_.rates, self.weights_, strict=True)]
+
+    def state(self):
+        return self.trees_, self.weights_
+
+    def restore(self, kept):
+        """Later rounds have scaled the weights of earlier trees: those of the best round come back with its trees."""
+        self.trees_, self.weights_ = kept
 
     def _dropped(self, rng, n: int) -> set[int]:
         if not n or rng.random() < self.skip_drop:

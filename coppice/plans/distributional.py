@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import DistributionOutput, Tweedie, get_distribution
 from ..functions.metrics import crps_gaussian, interval_score, pinball_loss
+from ..functions.quantiles import quantile
+from ..operators.growth import scores
 from .boosting import TreeModel
 
 
@@ -41,7 +43,7 @@ class DistributionalGBDT(TreeModel):
     def _base(self, df, label, weight):
         y = F.col(f"`{label}`").cast("double")
         logy = F.ln(F.greatest(y, F.lit(1e-10)))
-        row = df.agg(F.avg(y), F.stddev_pop(y), F.percentile(y, 0.5), F.avg(logy), F.stddev_pop(logy)).first()
+        row = df.agg(F.avg(y), F.stddev_pop(y), quantile(y, 0.5, df.count()), F.avg(logy), F.stddev_pop(logy)).first()
         s = dict(zip(("mean", "std", "median", "log_mean", "log_std"), map(float, row), strict=True))
         return np.array(self.family.initial(s), float)
 
@@ -62,10 +64,14 @@ class DistributionalGBDT(TreeModel):
 
     def _gradient(self):
         family, linked = self._linked()
-        natural = self.natural
+        natural, squares = self.natural, getattr(self, "squares_", None)
 
         def gradient(block, raw):
             p, y = linked(block, raw), block.columns["y"]
+            if squares is not None:
+                g = np.array([np.broadcast_to(x, y.shape) for x in family.gradient(y, p)])
+                f = np.maximum(squares, 1e-6)[:, None]
+                return (np.clip(np.nan_to_num(g / f), -100, 100), np.ones_like(g)) if natural else (np.nan_to_num(g), np.broadcast_to(f, g.shape))
             if natural:
                 g = np.array([np.broadcast_to(x, y.shape) for x in family.natural(y, p)])
                 return np.clip(np.nan_to_num(g), -100, 100), np.ones_like(g)
@@ -75,6 +81,22 @@ class DistributionalGBDT(TreeModel):
 
         return gradient
 
+    def _round(self, matrix, pending, r, n, now=None):
+        """A family whose Fisher information is empirical has the mean squares of its gradients over all rows summed
+        first."""
+        self.squares_ = None
+        if self.family.empirical:
+            family, linked = self._linked()
+            raw = now or (lambda block: scores(block, pending))
+
+            def work(block):
+                g = np.array([np.broadcast_to(x, (block.n,)) for x in family.gradient(block.columns["y"], linked(block, raw(block)))])
+                yield "s", np.append((np.nan_to_num(g) ** 2).sum(1), block.n)
+
+            total = matrix.sums(work, {"s": (len(family.names) + 1,)})["s"]
+            self.squares_ = total[:-1] / max(1.0, total[-1])
+        return super()._round(matrix, pending, r, n, now)
+
     def _monitored(self):
         family, linked = self._linked()
         return lambda block, raw: family.nll(block.columns["y"], linked(block, raw))

@@ -62,6 +62,7 @@ class AdditiveModel(GradientBoosting):
     monotone: {feature: 1 or -1}. smoothing: penalty on steps between neighbouring bins."""
 
     WATCHED = -1
+    SAMPLES = False
 
     @classmethod
     def defaults(cls) -> dict:

@@ -12,7 +12,7 @@ from ..operators.growth import scores
 from ..operators.matrix import Matrix
 from ..operators.splits import GrowthConfig
 from ..operators.tree import Tree
-from .boosting import GradientBoosting
+from .boosting import RENEW, GradientBoosting
 
 
 class LinearTree(Tree):
@@ -73,30 +73,32 @@ class LinearLeafGBDT(GradientBoosting):
         return now
 
     def _train(self, matrix, watched, manager, n):
-        from ..operators.growth import Round, get_growth_strategy
+        from ..operators.growth import get_growth_strategy
         from .callbacks import TrainingState
 
         state = TrainingState(self, n_rounds=self.n_trees)
         manager.begin(state)
-        strategy, pending, gradient = get_growth_strategy(self.growth), [], self._gradient()
+        strategy, pending, ahead = get_growth_strategy(self.growth), [], []
         for r in range(self.n_trees):
             state.round_idx, self.round_rate_ = r, self.learning_rate
             manager.round_begin(state)
-            now = self._now(list(pending))
-
-            def weighted(block, now=now):
-                g, h = gradient(block, now(block))
-                return g * block.columns["w"], h * block.columns["w"]
-
-            tree = strategy.grow(Round(matrix, weighted, self._config(), 1))[0]
-            tree = self._with_leaves(matrix, tree, weighted)
+            drawn = self._round(matrix, pending, r, n, self._now(list(pending)))
+            tree = self._with_leaves(matrix, strategy.grow(drawn)[0], drawn.gradient)
             self.trees_.rounds.append([tree])
             self.trees_.rates.append(self.round_rate_)
             pending.append((self.round_rate_, [tree]))
+            ahead.append((self.round_rate_, [tree]))
             if manager.needs_loss:
                 state.train_loss = self._plain_loss(matrix, pending)
-                state.val_loss = self._plain_loss(watched, pending) if watched else None
-            if not manager.round_end(state):
+                state.val_loss = self._plain_loss(watched, ahead) if watched else None
+            go_on = manager.round_end(state)
+            if len(pending) >= RENEW and r + 1 < self.n_trees:
+                matrix.__dict__.update(matrix.advanced(self._now(list(pending))).__dict__)
+                pending.clear()
+                if watched:
+                    watched.__dict__.update(watched.advanced(self._now(list(ahead))).__dict__)
+                    ahead.clear()
+            if not go_on:
                 break
         manager.end(state)
 

@@ -12,23 +12,51 @@ from pyspark.sql import functions as F
 from ..operators.sampling import hashed_folds, stratified_folds
 from .boosting import GradientBoosting
 
-
-def suggest_params(df: DataFrame, features: list[str], label: str, task: str = "regression", n_estimators_cap: int = 500) -> dict:
-    """Starting parameters from the number of rows and features and, for classes, their balance; one aggregate."""
-    y = F.col(f"`{label}`").cast("double")
-    n, rate = df.agg(F.count("*"), F.avg((y > 0).cast("double"))).first()
-    p = len(features)
-    depth = 3 if n < 1000 else 4 if n < 10_000 else 6 if n < 100_000 else 8
-    trees = min(n_estimators_cap, 100 if n < 1000 else 200 if n < 10_000 else 300 if n < 100_000 else 500)
-    out = {"n_trees": trees, "max_depth": depth, "learning_rate": 0.1 if n < 10_000 else 0.05, "min_child_weight": 1.0 if n < 10_000 else 5.0, "reg_lambda": 1.0, "subsample": 1.0 if n < 10_000 else 0.8, "colsample_bytree": 1.0 if p < 20 else 0.8}
-    if task in ("binary", "classification") and rate is not None and min(rate, 1 - rate) < 0.1:
-        out["min_child_weight"] = 1.0
-    return out
-
-
-def get_param_grid(task: str = "regression") -> dict[str, list]:
-    grid = {"n_trees": [100, 300], "max_depth": [4, 6, 8], "learning_rate": [0.05, 0.1], "reg_lambda": [0.1, 1.0, 10.0]}
-    return grid | ({"distribution": ["normal", "studentt"]} if task == "distributional" else {})
+#: A label of more values is not one of classes.
+MOST_CLASSES = 50
+
+
+def suggest_params(df: DataFrame, features: list[str], label: str, task: str = "regression", n_estimators_cap: int = 500, style: str = "sklearn") -> dict:
+    """Starting parameters from the number of rows and features and, for classes, their number and balance. style: "core"
+    names the trees n_trees, as the models here do, "sklearn" n_estimators. Two small aggregates; a label of more than 50
+    different values is taken for none of classes."""
+    n, p = df.count(), len(features)
+    sizes = []
+    if task == "classification":
+        sizes = [r["count"] for r in df.groupBy(f"`{label}`").count().limit(MOST_CLASSES + 1).collect()]
+        sizes = sizes if len(sizes) <= MOST_CLASSES else []
+    step = sum(n >= bound for bound in (1000, 10_000, 100_000))
+    trees = min((100, 200, 300, 500)[step], n_estimators_cap)
+    out = {"trees": trees, "learning_rate": 0.05 if trees >= 300 else 0.1}
+    if task == "distributional":
+        out["max_depth"] = min(5, 3 + p // 50)
+    else:
+        out["max_depth"] = min(6, 4 + p // 100) if p > 100 else min(8, 4 + p // 20)
+    out["reg_lambda"], out["min_child_weight"] = ((10.0, 3.0), (1.0, 1.0), (0.1, 1.0))[min(step, 2)]
+    if n > 10_000:
+        out["subsample"] = out["colsample_bytree"] = 0.8
+    if p > 100:
+        out["colsample_bytree"] = 0.6
+    if sizes and max(sizes) > 5 * min(sizes):
+        out |= {"trees": min(trees + 100, n_estimators_cap), "learning_rate": 0.05}
+    if len(sizes) > 10:
+        out["max_depth"] = min(out["max_depth"], 6)
+    return {("n_trees" if style == "core" else "n_estimators"): out.pop("trees")} | out
+
+
+#: The parameter grids by task.
+GRIDS = {
+    "regression": {"n_estimators": [100, 300, 500], "max_depth": [4, 6, 8], "learning_rate": [0.01, 0.05, 0.1], "subsample": [0.7, 0.8, 1.0], "colsample_bytree": [0.7, 0.8, 1.0], "reg_lambda": [0.1, 1.0, 10.0]},
+    "classification": {"n_estimators": [100, 300, 500], "max_depth": [3, 5, 7], "learning_rate": [0.01, 0.05, 0.1], "subsample": [0.7, 0.8, 1.0], "colsample_bytree": [0.7, 0.8, 1.0], "reg_lambda": [0.1, 1.0, 10.0]},
+    "distributional": {"n_estimators": [100, 200, 500], "max_depth": [3, 4, 5], "learning_rate": [0.05, 0.1, 0.2], "reg_lambda": [0.1, 1.0, 5.0]},
+}
+
+
+def get_param_grid(task: str = "regression", style: str = "sklearn") -> dict[str, list]:
+    """The grid of a task. style "core" names the trees n_trees, for the models here."""
+    if task not in GRIDS:
+        raise ValueError(f"unknown task {task!r}; one of {sorted(GRIDS)}")
+    return {("n_trees" if style == "core" and k == "n_estimators" else k): list(v) for k, v in GRIDS[task].items()}
 
 
 def _out_of_fold(folds: DataFrame, cv: int, fit, apply) -> DataFrame:

@@ -12,12 +12,13 @@ from .functions.distributions import get_distribution
 from .operators import relational as R
 from .operators import sampling
 from .operators.tree import Split, Tree
+from .oracles import boosting_sql, digamma_sql, normal_cdf_sql, trigamma_sql
 from .plans.boosting import DART, GradientBoosting, MultiClassGradientBoosting
 from .plans.distributional import NaturalBoostGamma, NaturalBoostNormal
 from .plans.gam import AdditiveModel
 from .plans.importance import importance_table
 from .plans.linear_leaf import LinearLeafGBDT
-from .plans.tuning import ConfigBatch, cross_val_predict, suggest_params
+from .plans.tuning import ConfigBatch, cross_val_predict, get_param_grid, suggest_params
 from .sources.binner import Binner
 
 QUERIES: dict = {}
@@ -308,12 +309,27 @@ _E0, _E1 = f"exp({_R0})", f"exp({_R1})"
 _Z = f"(({_Y} - {_R0}) / {_E1})"
 _LZ = f"((ln({_Y}) - {_R0}) / {_E1})"
 _DEV = f"(2 * ({_Y} ** 0.5 / (-0.25) + {_Y} * {_E0} ** (-0.5) / 0.5 + {_E0} ** 0.5 / 0.5))"
+#: Gamma: concentration exp(raw 0), rate exp(raw 1); its Fisher matrix is full and solved for the natural gradient.
+_G0, _G1 = f"{_E0} * ({digamma_sql(_E0)} - {_R1} - ln({_Y}))", f"{_E1} * {_Y} - {_E0}"
+_F11 = f"({_E0} * {_E0} * {trigamma_sql(_E0)})"
+_DET = f"({_F11} * {_E0} - {_E0} * {_E0})"
+_GAMMA = (_G0, _G1, f"({_E0} * ({_G0}) + {_E0} * ({_G1})) / {_DET}", f"({_F11} * ({_G1}) + {_E0} * ({_G0})) / {_DET}")
+#: Student's t: location raw 0, scale exp(raw 1), 2 + softplus(8) degrees of freedom.
+_V = "(2 + ln(1 + exp(8.0)))"
+_T0, _T1 = f"-({_V} + 1) / ({_V} + {_Z} * {_Z}) * {_Z} / {_E1}", f"1 - ({_V} + 1) / ({_V} + {_Z} * {_Z}) * {_Z} * {_Z}"
+_T2 = f"0.5 * ({digamma_sql(f'({_V} / 2)')} - {digamma_sql(f'({_V} / 2 + 0.5)')} + 1 / {_V} + ln(1 + {_Z} * {_Z} / {_V}) - ({_V} + 1) * {_Z} * {_Z} / ({_V} * ({_V} + {_Z} * {_Z}))) / (1 + exp(-8.0))"
+_STUDENT = (_T0, _T1, f"({_T0}) * ({_V} + 3) * {_E1} * {_E1} / ({_V} + 1)", f"({_T1}) / 2", _T2, f"({_T2}) / 0.1")
+#: Negative binomial of ceil(y): mean exp(raw 0), size exp(raw 1).
+_N, _Q = f"ceil({_Y})", f"({_E1} / ({_E1} + {_E0}))"
+_B0 = f"({_E0} - {_N}) * {_Q}"
+_B1 = f"-{_E1} * ({digamma_sql(f'({_N} + {_E1})')} - {digamma_sql(_E1)} + ln({_Q}) + 1 - {_Q} - {_N} / ({_E1} + {_E0}))"
+_NEGBIN = (_B0, _B1, f"({_B0}) / greatest({_E0} * {_Q}, 1e-10)", f"({_B1}) / greatest(least({_E1} * {trigamma_sql(_E1)}, 10.0), 0.1)")
 _FAMILIES = {
     "normal": (f"-{_Z} / {_E1}", f"1 - {_Z} * {_Z}", f"-{_Z} * {_E1}", f"(1 - {_Z} * {_Z}) / 2"),
     "lognormal": (f"-{_LZ} / {_E1}", f"1 - {_LZ} * {_LZ}", f"-{_LZ} * {_E1}", f"(1 - {_LZ} * {_LZ}) / 2"),
     "poisson": (f"{_E0} - {_Y}", None, f"({_E0} - {_Y}) / {_E0}", None),
     "tweedie": (f"{_E0} * ({_E0} ** (-0.5) - {_Y} * {_E0} ** (-1.5)) / {_E1}", f"1 - {_DEV} / (2 * {_E1})", f"({_E0} * ({_E0} ** (-0.5) - {_Y} * {_E0} ** (-1.5)) / {_E1}) / ({_E0} ** 0.5 / {_E1})", f"(1 - {_DEV} / (2 * {_E1})) / 0.5"),
-    "gamma": None, "studentt": None, "negativebinomial": None,
+    "gamma": _GAMMA, "studentt": _STUDENT, "negativebinomial": _NEGBIN,
 }
 
 
@@ -330,7 +346,7 @@ def _family_query(name):
 
 
 for _name, _sql in _FAMILIES.items():
-    _outs = ", ".join(f"round(avg({x}), 5) + 0.0 AS {k}" for k, x in zip(("g0", "g1", "n0", "n1"), _sql, strict=True) if x) if _sql else None
+    _outs = ", ".join(f"round(avg({x}), 5) + 0.0 AS {k}" for k, x in zip(("g0", "g1", "n0", "n1", "g2", "n2"), _sql, strict=False) if x) if _sql else None
     query(f"SELECT l_returnflag, {_outs} FROM lineitem GROUP BY 1" if _outs else None, f"dist_{_name}")(_family_query(_name))
 
 # -- metrics -------------------------------------------------------------------------------------------------------
@@ -418,15 +434,15 @@ def metric_pit_histogram(spark, sf_dir):
     return out.select(F.col("bin").cast("long").alias("bin"), "count")
 
 
-@query("SELECT round((i + 1) / 10, 6) AS nominal, round(avg(((l_quantity - 0.5) / 50 <= (i + 1) / 10)::INT), 6) AS observed FROM lineitem, range(10) r(i) GROUP BY i")
+@query("SELECT round((i + 0.5) / 10, 6)::DOUBLE AS nominal, round(avg(((l_quantity - 0.5) / 50 <= (i + 0.5) / 10)::INT), 6) AS observed FROM lineitem, range(10) r(i) GROUP BY i")
 def metric_reliability(spark, sf_dir):
     out = metrics.reliability_diagram(read(spark, sf_dir, "lineitem"), (F.col("l_quantity") - 0.5) / 50)
     return out.select(rounded("nominal").alias("nominal"), rounded("observed").alias("observed"))
 
 
-@query()
+@query(f"WITH z AS (SELECT ({_TRUE} - {_PRED}) / 5000 AS z, count(*) AS n FROM lineitem GROUP BY 1) SELECT round(sum(n * 5000 * (z * (2 * {normal_cdf_sql('z')} - 1) + 2 * exp(-0.5 * z * z) / sqrt(2 * pi()) - 1 / sqrt(pi()))) / sum(n), 2) AS crps FROM z")
 def metric_crps_gaussian(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").agg(rounded(metrics.crps_gaussian(F.expr(_TRUE), F.expr(_PRED), F.lit(5000.0)), 4).alias("crps"))
+    return read(spark, sf_dir, "lineitem").agg(rounded(metrics.crps_gaussian(F.expr(_TRUE), F.expr(_PRED), F.lit(5000.0)), 2).alias("crps"))
 
 
 # -- models --------------------------------------------------------------------------------------------------------
@@ -450,7 +466,16 @@ def _predicted(out: DataFrame, *columns: str) -> DataFrame:
     return out.groupBy("l_linenumber").agg(*(rounded(F.avg(c), 4).alias(c) for c in columns), F.count("*").alias("n"))
 
 
-@query()
+_LINES = "SELECT *, l_extendedprice / 1000 AS y FROM lineitem"
+_MEAN = "(SELECT avg(y) FROM src)"
+_SQUARED = [("p0 - y", "1.0")]
+
+
+def _model_sql(*columns: str) -> str:
+    return f" SELECT l_linenumber, {', '.join(columns)}, count(*) AS n FROM model GROUP BY 1"
+
+
+@query(boosting_sql(_LINES, MODEL_FEATURES, [_MEAN], _SQUARED, 10, 4) + _model_sql("round(avg(p0), 4) AS prediction"))
 def gbdt_regression(spark, sf_dir):
     df = _training(spark, sf_dir)
     return _predicted(GradientBoosting(n_trees=10, max_depth=4).fit(df, MODEL_FEATURES, "y").predict(df), "prediction")
@@ -463,19 +488,27 @@ def gbdt_leafwise_goss(spark, sf_dir):
     return _predicted(model.predict(df), "prediction")
 
 
-@query()
+@query(boosting_sql(_LINES, MODEL_FEATURES, [_MEAN], _SQUARED, 5, 4, symmetric=True) + _model_sql("round(avg(p0), 4) AS prediction"))
 def gbdt_symmetric(spark, sf_dir):
     df = _training(spark, sf_dir)
     return _predicted(GradientBoosting(n_trees=5, max_depth=4, growth="symmetric").fit(df, MODEL_FEATURES, "y").predict(df), "prediction")
 
 
-@query()
+_LOGIT = "(SELECT ln(avg(y) / (1 - avg(y))) FROM src)"
+_LOGISTIC = [("1 / (1 + exp(-p0)) - y", "greatest(1 / (1 + exp(-p0)) * (1 - 1 / (1 + exp(-p0))), 1e-6)")]
+
+
+@query(boosting_sql(f"SELECT *, {_B}::DOUBLE AS y FROM lineitem", [*MODEL_FEATURES, "l_returnflag"], [_LOGIT], _LOGISTIC, 5, 3, texts=("l_returnflag",)) + _model_sql("round(avg(1 / (1 + exp(-p0))), 4) AS probability"))
 def gbdt_logloss(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem").withColumn("y", F.expr(_B).cast("double"))
     return _predicted(GradientBoosting(n_trees=5, max_depth=3, loss="logloss").fit(df, [*MODEL_FEATURES, "l_returnflag"], "y").predict_proba(df), "probability")
 
 
-@query()
+_SHARES = [f"(exp(p{k}) / (exp(p0) + exp(p1) + exp(p2)))" for k in range(3)]
+_SOFTMAX = [(f"{p} - (y = {k})::INT", f"greatest({p} * (1 - {p}), 1e-6)") for k, p in enumerate(_SHARES)]
+
+
+@query(boosting_sql(f"SELECT *, {_NODE} - 3 AS y FROM lineitem", [*MODEL_FEATURES, "l_linestatus"], ["0", "0", "0"], _SOFTMAX, 3, 3, texts=("l_linestatus",)) + _model_sql("round(avg(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END), 4) AS prediction"))
 def gbdt_multiclass(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem").withColumn("y", F.expr(_NODE) - 3)
     return _predicted(MultiClassGradientBoosting(n_classes=3, n_trees=3, max_depth=3).fit(df, [*MODEL_FEATURES, "l_linestatus"], "y").predict(df), "prediction")
@@ -487,7 +520,11 @@ def dart_regression(spark, sf_dir):
     return _predicted(DART(n_trees=5, max_depth=3, dropout_rate=0.3).fit(df, MODEL_FEATURES, "y").predict(df), "prediction")
 
 
-@query()
+_NORMAL = [("greatest(least(p0 - y, 100), -100)", "1.0"), ("greatest(least((1 - ((y - p0) / exp(p1)) ** 2) / 2, 100), -100)", "1.0")]
+_INTERVAL = [f"round(avg(p0 {s} 1.6448536269514722 * exp(p1)), 4) AS {n}" for s, n in (("-", "lower"), ("+", "upper"))]
+
+
+@query(boosting_sql(_LINES, MODEL_FEATURES, [_MEAN, "(SELECT ln(stddev_pop(y) + 1e-6) FROM src)"], _NORMAL, 4, 3) + _model_sql(*_INTERVAL))
 def naturalboost_normal(spark, sf_dir):
     df = _training(spark, sf_dir)
     return _predicted(NaturalBoostNormal(n_trees=4, max_depth=3).fit(df, MODEL_FEATURES, "y").predict_interval(df), "lower", "upper")
@@ -511,7 +548,7 @@ def linear_leaf_regression(spark, sf_dir):
     return _predicted(LinearLeafGBDT(n_trees=4, max_depth=2).fit(df, MODEL_FEATURES, "y").predict(df), "prediction")
 
 
-@query()
+@query(boosting_sql(_LINES, MODEL_FEATURES, [_MEAN], _SQUARED, 3, 3) + f" SELECT name AS feature, (SELECT count(*) FROM splits s WHERE s.feature = f.i)::DOUBLE / (SELECT count(*) FROM splits) AS importance FROM (VALUES {', '.join(str((i, n)) for i, n in enumerate(MODEL_FEATURES))}) f(i, name)")
 def importance_frequency(spark, sf_dir):
     df = _training(spark, sf_dir)
     return importance_table(GradientBoosting(n_trees=3, max_depth=3).fit(df, MODEL_FEATURES, "y"), "frequency")
@@ -530,10 +567,35 @@ def config_grid(spark, sf_dir):
     return grid.select(F.col("config_id").cast("long").alias("config_id"), F.col("max_depth").cast("long").alias("max_depth"), "reg_lambda", "min_child_weight", "learning_rate")
 
 
-@query("SELECT CASE WHEN count(*) < 1000 THEN 3 WHEN count(*) < 10000 THEN 4 WHEN count(*) < 100000 THEN 6 ELSE 8 END::BIGINT AS max_depth, CASE WHEN count(*) < 10000 THEN 0.1 ELSE 0.05 END::DOUBLE AS learning_rate FROM lineitem")
+_SUGGESTED = """SELECT '{task}' AS task, greatest(least(trees + extra, 500), 0)::BIGINT AS n_estimators, (CASE WHEN trees >= 300 OR extra > 0 THEN 0.05 ELSE 0.1 END)::DOUBLE AS learning_rate,
+{depth}::BIGINT AS max_depth, (CASE WHEN n < 1000 THEN 10.0 WHEN n < 10000 THEN 1.0 ELSE 0.1 END)::DOUBLE AS reg_lambda, (CASE WHEN n < 1000 THEN 3.0 ELSE 1.0 END)::DOUBLE AS min_child_weight,
+(CASE WHEN n > 10000 THEN 0.8 END)::DOUBLE AS subsample FROM (SELECT n, CASE WHEN n < 1000 THEN 100 WHEN n < 10000 THEN 200 WHEN n < 100000 THEN 300 ELSE 500 END AS trees,
+CASE WHEN {imbalance} > 5 THEN 100 ELSE 0 END AS extra FROM (SELECT count(*) AS n FROM {table}))"""
+
+
+@query(" UNION ALL ".join([
+    _SUGGESTED.format(task="regression", depth="least(8, 4 + 4 // 20)", imbalance="1", table="lineitem"),
+    _SUGGESTED.format(task="classification", depth="least(8, 4 + 1 // 20)", imbalance="(SELECT max(c) / min(c) FROM (SELECT count(*) AS c FROM orders GROUP BY o_orderstatus))", table="orders"),
+    _SUGGESTED.format(task="distributional", depth="least(5, 3 + 1 // 50)", imbalance="1", table="events"),
+]))
 def suggested_params(spark, sf_dir):
-    s = suggest_params(read(spark, sf_dir, "lineitem"), MODEL_FEATURES, "l_extendedprice")
-    return spark.createDataFrame([(s["max_depth"], s["learning_rate"])], "max_depth long, learning_rate double")
+    rows = []
+    for task, name, features, label in (("regression", "lineitem", MODEL_FEATURES, "l_extendedprice"), ("classification", "orders", ["o_totalprice"], "o_orderstatus"), ("distributional", "events", ["value"], "value")):
+        s = suggest_params(read(spark, sf_dir, name), features, label, task)
+        rows.append((task, s["n_estimators"], s["learning_rate"], s["max_depth"], s["reg_lambda"], s["min_child_weight"], s.get("subsample")))
+    return spark.createDataFrame(rows, "task string, n_estimators long, learning_rate double, max_depth long, reg_lambda double, min_child_weight double, subsample double")
+
+
+@query("""SELECT task, name, unnest(vals)::DOUBLE AS value FROM (VALUES
+('regression', 'n_estimators', [100, 300, 500]), ('regression', 'max_depth', [4, 6, 8]), ('regression', 'learning_rate', [0.01, 0.05, 0.1]),
+('regression', 'subsample', [0.7, 0.8, 1.0]), ('regression', 'colsample_bytree', [0.7, 0.8, 1.0]), ('regression', 'reg_lambda', [0.1, 1.0, 10.0]),
+('classification', 'n_estimators', [100, 300, 500]), ('classification', 'max_depth', [3, 5, 7]), ('classification', 'learning_rate', [0.01, 0.05, 0.1]),
+('classification', 'subsample', [0.7, 0.8, 1.0]), ('classification', 'colsample_bytree', [0.7, 0.8, 1.0]), ('classification', 'reg_lambda', [0.1, 1.0, 10.0]),
+('distributional', 'n_estimators', [100, 200, 500]), ('distributional', 'max_depth', [3, 4, 5]), ('distributional', 'learning_rate', [0.05, 0.1, 0.2]),
+('distributional', 'reg_lambda', [0.1, 1.0, 5.0])) g(task, name, vals)""")
+def param_grids(spark, sf_dir):
+    rows = [(task, name, float(v)) for task in ("regression", "classification", "distributional") for name, values in get_param_grid(task).items() for v in values]
+    return spark.createDataFrame(rows, "task string, name string, value double")
 
 
 # -- sampling ------------------------------------------------------------------------------------------------------
@@ -548,11 +610,7 @@ def random_sample_size(spark, sf_dir):
     return sampling.random_sample(read(spark, sf_dir, "events"), "event_id", 0.25, 3).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
-@query("SELECT c_mktsegment, true AS even FROM customer GROUP BY 1")
+@query("SELECT c_mktsegment, f::BIGINT AS fold, count(*) // 5 + (count(*) % 5 > any_value(f))::BIGINT AS n FROM customer, range(5) r(f) GROUP BY 1, 2")
 def stratified_fold_balance(spark, sf_dir):
     folds = sampling.stratified_folds(read(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", 5)
-    counts = folds.groupBy("c_mktsegment", "fold").count().groupBy("c_mktsegment").agg(F.max("count").alias("hi"), F.min("count").alias("lo"), F.sum("count").alias("n"))
-    # ranges of the hash are numbered one by one, so folds differ by less than a row a range
-    return counts.select("c_mktsegment", (F.col("hi") - F.col("lo") <= F.greatest(F.lit(64), F.col("n") / 5)).alias("even"))
-
-
+    return folds.groupBy("c_mktsegment", F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"))

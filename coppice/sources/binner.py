@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import math
 import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.quantiles import quantile
+
 MISSING = 255
 MOST_BINS = 254
 
@@ -39,8 +42,8 @@ class Binner:
 
     @classmethod
     def fit(cls, df: DataFrame, features: list[str], n_bins: int = MOST_BINS, categorical: list[str] = (), approximate: int | None = None) -> Binner:
-        """All numeric quantiles come from one aggregate; string columns are categorical. approximate: the accuracy of
-        percentile_approx, for tables where exact quantiles would take too long; exact by default."""
+        """All numeric quantiles come from one aggregate; string columns are categorical. approximate: see quantile(): exact
+        by default on tables of up to EXACT_ROWS rows, by a mergeable sketch of stated accuracy on larger ones."""
         if n_bins > MOST_BINS:
             warnings.warn(f"n_bins={n_bins} is above {MOST_BINS}, which is used", stacklevel=2)
         n_bins = max(2, min(n_bins, MOST_BINS))
@@ -51,13 +54,14 @@ class Binner:
         points = [float(q) for q in np.linspace(0, 1, n_bins + 1)[1:-1]]
         text = [f for f in features if isinstance(df.schema[f].dataType, (T.StringType, T.BooleanType))]
         grouped = [f for f in features if f in set(categorical) | set(text)]
+        rows = df.count() if approximate is None else 0
         sums = [F.max(is_missing(df, f)).alias(f"m{i}") for i, f in enumerate(features)]
         for i, f in enumerate(features):
             if f in grouped:
                 sums.append(F.array_sort(F.collect_set(F.when(~is_missing(df, f), F.col(f"`{f}`")))).alias(f"v{i}"))
             else:
                 value = F.when(~is_missing(df, f), F.col(f"`{f}`").cast("double"))
-                sums.append((F.percentile_approx(value, points, approximate) if approximate else F.percentile(value, points)).alias(f"v{i}"))
+                sums.append(quantile(value, points, rows, approximate).alias(f"v{i}"))
         # A feature of too many categories would make its set large: counted first, without keeping the values.
         if grouped:
             counts = df.agg(*(F.approx_count_distinct(f"`{f}`").alias(f"c{i}") for i, f in enumerate(grouped))).first()
@@ -88,11 +92,16 @@ class Binner:
         edges = self.edges[name]
         if not edges:
             return F.when(is_missing(df, name), MISSING).otherwise(0).cast("short")
-        at = F.array(*map(F.lit, edges))
-        value = c.cast("double")
-        # width by binary search would need a function Spark lacks; filter over a constant array stays in one projection
-        below = F.size(F.filter(at, lambda e: e <= value))
-        return F.when(is_missing(df, name), MISSING).otherwise(F.least(below, F.lit(len(edges) - 1))).cast("short")
+        value, last = c.cast("double"), len(edges) - 1
+
+        def below(lo: int, hi: int) -> Column:
+            """The number of edges at or below the value, between lo and hi: nested comparisons, by halves."""
+            if lo == hi:
+                return F.lit(min(lo, last))
+            mid = (lo + hi) // 2
+            return F.when(value < edges[mid], below(lo, mid)).otherwise(below(mid + 1, hi))
+
+        return F.when(is_missing(df, name), MISSING).otherwise(below(0, len(edges))).cast("short")
 
     def transform(self, df: DataFrame, keep: list = ()) -> DataFrame:
         """keep, then b0, b1, ...: the bins of the features in order."""
@@ -110,9 +119,10 @@ class Binner:
         out = np.full((len(self.features), n), MISSING, np.uint8)
         for i, (f, c) in enumerate(zip(self.features, columns, strict=True)):
             if f in self.categories:
-                known = {v: k for k, v in enumerate(self.categories[f])}
-                values = c.to_pylist() if hasattr(c, "to_pylist") else list(c)
-                out[i] = [MISSING if v is None or (isinstance(v, float) and math.isnan(v)) else known.get(v, MISSING) for v in values]
+                values = c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, from_pandas=True)
+                found = pc.index_in(values, pa.array(self.categories[f], values.type)) if self.categories[f] and not pa.types.is_null(values.type) else None
+                if found is not None:
+                    out[i] = pc.fill_null(found, MISSING).to_numpy(zero_copy_only=False) if isinstance(found, pa.Array) else pc.fill_null(found, MISSING).to_numpy()
             else:
                 x = np.asarray(c.to_numpy(zero_copy_only=False) if hasattr(c, "to_pylist") else c, dtype=np.float64)
                 edges = np.asarray(self.edges[f])
