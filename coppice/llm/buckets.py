@@ -85,7 +85,8 @@ LINKS = pa.schema([("item", pa.int64()), ("links", pa.int64()), ("root", pa.int6
 
 
 def run_tasks(rows: DataFrame, work, schema: str) -> DataFrame:
-    """Deal rows out by task and call work(key, table) -> RecordBatch or None for each."""
+    """Deal rows out by task and call work(key, table) -> RecordBatch or None for each. What comes back is little beside what
+    the tasks read, so it is gathered into few parts before it is written."""
 
     def run(batches):
         for key, group in grouped(batches, TASK):
@@ -93,7 +94,7 @@ def run_tasks(rows: DataFrame, work, schema: str) -> DataFrame:
                 yield out
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *TASK).sortWithinPartitions(*TASK).mapInArrow(run, schema)
+    return rows.repartition(n, *TASK).sortWithinPartitions(*TASK).mapInArrow(run, schema).hint("rebalance")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
