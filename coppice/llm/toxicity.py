@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ ORDER, DISCOUNT = 6, 0.75
 SAMPLE = 100_000
 #: Tokens that a worker remembers before it starts afresh.
 MET = 800_000
+#: Characters of the texts whose tokens are told apart at once (a longer text goes by itself).
+CHUNK = 4 << 20
 #: Words longer than this are modelled by pieces of this length.
 PIECE = 40
 WORD = re.compile(r"[^\W\d_]+")
@@ -45,6 +48,18 @@ def words_of(text: str | None) -> list[str]:
     return [w for t in tokens_of(text) for w in WORD.findall(t)]
 
 
+def chunks(texts: list[str | None]):
+    """The different tokens of each run of texts of about CHUNK characters."""
+    lo = size = 0
+    for hi, text in enumerate(texts, 1):
+        size += len(text or "")
+        if size >= CHUNK or hi == len(texts):
+            run = pa.array([(t or "").lower() for t in texts[lo:hi]], pa.large_string())
+            # No letter is split at: whatever counts as a blank, the words are the same.
+            yield pc.utf8_split_whitespace(run).flatten().unique().to_pylist()
+            lo, size = hi, 0
+
+
 def spelled(word: str) -> list[str]:
     """The marked pieces whose characters the models predict."""
     return [START + word[i : i + PIECE] + (END if i + PIECE >= len(word) else "") for i in range(0, len(word), PIECE)]
@@ -90,7 +105,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 def count_types(docs: DataFrame, histories: DataFrame) -> DataFrame:
     """(gram, types): of each n-gram below the highest order, the different characters that precede it in all words of
     docs (text). Only n-grams that continue one of histories (history), but all of those; with a history its own
-    endings must be there too."""
+    beginnings and endings must be there too."""
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(histories.toArrow()["history"].to_pylist()))
 
     def run(batches):
@@ -103,22 +118,23 @@ def count_types(docs: DataFrame, histories: DataFrame) -> DataFrame:
             found.clear()
 
         for b in batches:
-            for text in b.column("text").to_pylist():
-                tokens = set(tokens_of(text)) - met
+            for tokens in chunks(b.column("text").to_pylist()):
+                tokens = set(tokens) - met
                 met |= tokens
                 new = {w for t in tokens for w in WORD.findall(t)} - seen
                 seen |= new
                 for word in new:
                     for piece in spelled(word):
+                        # The longest one only: the others are its endings. None begins before the last one did.
+                        start = 1
                         for i in range(1, len(piece)):
-                            # The longest one only: the others are its endings.
-                            start, least = i, max(1, i - ORDER + 2)
-                            while start > least and piece[start - 1 : i] in known:
-                                start -= 1
+                            start = max(start, i - ORDER + 2)
+                            while start < i and piece[start:i] not in known:
+                                start += 1
                             found.add(piece[start - 1 : i + 1])
-            if len(met) > 600_000:
-                met.clear()
-                seen.clear()
+                if len(met) > 600_000:
+                    met.clear()
+                    seen.clear()
             if len(found) > 600_000:
                 yield from flush()
         yield from flush()
