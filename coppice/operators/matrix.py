@@ -34,6 +34,7 @@ class Matrix:
     def __init__(self, blocks: DataFrame, binner: Binner, columns: list[str], outputs: int):
         self.blocks, self.binner, self.columns, self.outputs = blocks, binner, columns, outputs
         self.partitions = None
+        self.borrowed = False
 
     @classmethod
     def build(cls, df: DataFrame, binner: Binner, columns: dict[str, object], id_col: str | None = None, outputs: int = 1, base=0.0, offset: str | None = None) -> Matrix:
@@ -102,13 +103,20 @@ class Matrix:
 
         blocks = _kept(self.blocks.mapInArrow(run, SCHEMA))
         blocks.count()
-        self.blocks.unpersist()
+        self.release()
         out = Matrix(blocks, self.binner, self.columns, self.outputs)
         out.partitions = self.partitions
         return out
 
+    def lent(self) -> Matrix:
+        """The same blocks for another model, which does not let them go."""
+        out = Matrix(self.blocks, self.binner, self.columns, self.outputs)
+        out.partitions, out.borrowed = self.partitions, True
+        return out
+
     def release(self) -> None:
-        self.blocks.unpersist()
+        if not self.borrowed:
+            self.blocks.unpersist()
 
 
 SCHEMA = "n int, bins binary, extra binary, ids binary, raw binary"

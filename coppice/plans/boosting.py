@@ -15,7 +15,7 @@ from ..operators.growth import FittedTrees, Round, get_growth_strategy, scores
 from ..operators.matrix import Block, Matrix
 from ..operators.sampling import GOSSConfig, uniform
 from ..operators.splits import GrowthConfig
-from ..operators.validation import ValidationError, check_is_fitted, validate_features, validate_hyperparameters, validate_label, validate_weight
+from ..operators.validation import ValidationError, check_is_fitted, validate_eval_set, validate_hyperparameters, validate_training
 from ..sources.binner import Binner
 from ..sources.persistence import load_model, save_model
 from .callbacks import CallbackManager, TrainingState, warn_without_eval
@@ -58,6 +58,8 @@ class TreeModel:
     WATCHED = 0
     #: Whether rows and features can be sampled.
     SAMPLES = True
+    #: Parameters that neither bins nor base scores depend on.
+    GROWTH_ONLY = frozenset(("n_trees", "max_depth", "learning_rate", "min_child_weight", "reg_lambda", "reg_alpha", "gamma", "subsample", "colsample_bytree", "growth", "max_leaves", "random_state"))
 
     def __init__(self, **params):
         unknown = set(params) - set(self.defaults())
@@ -119,32 +121,46 @@ class TreeModel:
         eval_set = [eval_set] if isinstance(eval_set, DataFrame) else list(eval_set or [])
         if not self.SAMPLES and (self.subsample != 1 or self.colsample_bytree != 1 or getattr(self, "subsample_strategy", "none") != "none"):
             raise ValidationError(f"{type(self).__name__} takes all rows and features; it has no subsample, colsample_bytree or subsample_strategy")
-        n = validate_features(df, features)
-        validate_label(df, label, self.task, getattr(self, "n_classes", None))
-        validate_hyperparameters(self.n_trees, self.max_depth, self.learning_rate, self.min_child_weight, self.reg_lambda, self.subsample, n)
-        if weight:
-            validate_weight(df, weight)
-        if exposure:
-            validate_weight(df, exposure, positive=True)
-        for e in eval_set:
-            validate_features(e, features)
+        validate_eval_set(eval_set, features, label, weight, exposure)
         warn_without_eval(callbacks, eval_set)
-        self.spark_ = df.sparkSession
-        self.features_, self.label_, self.exposure_ = list(features), label, exposure
-        self.binner_ = Binner.fit(df, features, self.n_bins, list(self.categorical), self.approximate_bins)
-        self.base_ = np.broadcast_to(np.asarray(self._base(df, label, weight), float), (self._outputs(),)).copy()
-        build = lambda d: Matrix.build(d, self.binner_, self._columns(d, label, weight, exposure), id_col, self._outputs(), self.base_, "offset" if exposure and self._offset_all() else None)
+        build, n = self._prepared(df, features, label, weight, id_col, exposure)
         matrix = build(df)
         watched = build(eval_set[self.WATCHED]) if eval_set else None
-        self.trees_ = FittedTrees()
         try:
-            self._train(matrix, watched, CallbackManager(callbacks), n)
+            self._grown(matrix, watched, callbacks, n)
         finally:
             matrix.release()
             if watched:
                 watched.release()
         return self
 
+    def _prepared(self, df: DataFrame, features: list[str], label: str, weight: str | None = None, id_col: str | None = None, exposure: str | None = None):
+        """Check the table and fit the bins and the base score; a function that makes blocks of such tables, and the rows."""
+        n = validate_training(df, features, label, self.task, getattr(self, "n_classes", None), weight, exposure)
+        validate_hyperparameters(self.n_trees, self.max_depth, self.learning_rate, self.min_child_weight, self.reg_lambda, self.subsample, n)
+        self.spark_ = df.sparkSession
+        self.features_, self.label_, self.exposure_ = list(features), label, exposure
+        self.binner_ = Binner.fit(df, features, self.n_bins, list(self.categorical), self.approximate_bins)
+        self.base_ = np.broadcast_to(np.asarray(self._base(df, label, weight), float), (self._outputs(),)).copy()
+        build = lambda d: Matrix.build(d, self.binner_, self._columns(d, label, weight, exposure), id_col, self._outputs(), self.base_, "offset" if exposure and self._offset_all() else None)
+        return build, n
+
+    def fit_on(self, lead: TreeModel, matrix: Matrix, n: int):
+        """Train on the blocks that lead has prepared (n rows) for models that differ from it in GROWTH_ONLY alone."""
+        validate_hyperparameters(self.n_trees, self.max_depth, self.learning_rate, self.min_child_weight, self.reg_lambda, self.subsample, n)
+        for name in ("spark_", "features_", "label_", "exposure_", "binner_", "base_"):
+            setattr(self, name, getattr(lead, name))
+        own = matrix.lent()
+        try:
+            return self._grown(own, None, None, n)
+        finally:
+            own.release()
+
+    def _grown(self, matrix: Matrix, watched: Matrix | None, callbacks, n: int):
+        self.trees_ = FittedTrees()
+        self._train(matrix, watched, CallbackManager(callbacks), n)
+        return self
+
     def _offset_all(self) -> bool:
         return True
 

@@ -120,10 +120,19 @@ class ConfigBatch:
 
 
 def fit_batch(df: DataFrame, features: list[str], label: str, batch: ConfigBatch, parallelism: int = 4, **params) -> list[GradientBoosting]:
-    """A model for each configuration. The table is cached once; jobs of several models share the cluster."""
-    df = df.persist()
-    try:
-        with ThreadPoolExecutor(max(1, parallelism)) as pool:
-            return list(pool.map(lambda c: GradientBoosting(n_trees=batch.n_rounds, **c, **params).fit(df, features, label), batch.configs))
-    finally:
-        df.unpersist()
+    """A model for each configuration. Those that differ only in how trees grow share one pass over the table, its bins and
+    its blocks; jobs of several models share the cluster."""
+    models = [GradientBoosting(n_trees=batch.n_rounds, **c, **params) for c in batch.configs]
+    groups: dict[str, list[GradientBoosting]] = {}
+    for m in models:
+        groups.setdefault(repr([(k, v) for k, v in m.get_params().items() if k not in m.GROWTH_ONLY]), []).append(m)
+    for group in groups.values():
+        lead = group[0]
+        build, n = lead._prepared(df, features, label)
+        matrix = build(df)
+        try:
+            with ThreadPoolExecutor(max(1, parallelism)) as pool:
+                list(pool.map(lambda m, lead=lead, matrix=matrix, n=n: m.fit_on(lead, matrix, n), group))
+        finally:
+            matrix.release()
+    return models

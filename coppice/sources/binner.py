@@ -112,6 +112,10 @@ class Binner:
         absent = [f for f in self.features if f not in df.columns]
         if absent:
             raise ValueError(f"missing features: {absent}")
+        odd = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
+        wrong = [f for f in self.features if isinstance(df.schema[f].dataType, odd if f in self.categories else (*odd, T.StringType))]
+        if wrong:
+            raise ValueError(f"features of another type than in training: {wrong}")
 
     def bins(self, columns: list) -> np.ndarray:
         """The same bins on arrays: one pyarrow or numpy column per feature -> uint8 (features, rows)."""

@@ -6,7 +6,7 @@ from coppice.functions.losses import register_loss, unregister_loss
 from coppice.operators.growth import GrowthStrategy, LevelWise, get_growth_strategy, register_growth_strategy
 from coppice.operators.splits import GrowthConfig, best_split
 from coppice.operators.tree import Split, Tree
-from coppice.operators.validation import ValidationError
+from coppice.operators.validation import ValidationError, validate_predict_input
 from coppice.plans.boosting import DART, GradientBoosting, MultiClassGradientBoosting, TreeModel
 from coppice.plans.callbacks import Callback, EarlyStopping, HistoryCallback, LearningRateScheduler, ProfilingCallback
 from coppice.plans.distributional import NaturalBoostNormal, NaturalBoostPoisson
@@ -231,6 +231,11 @@ def test_estimators_importance_and_tuning(data):
     assert LinearLeafRegressor(n_estimators=2).fit(data, FEATURES, "y").score(data) > 0.1
     models = fit_batch(data, FEATURES, "y", ConfigBatch.from_grid((1, 2), n_rounds=1))
     assert [m.trees_.rounds[0][0].depth for m in models] == [1, 2]
+    alone = [GradientBoosting(n_trees=25, max_depth=2, reg_lambda=x).fit(data, FEATURES, "y") for x in (0.1, 10.0)]
+    batch = fit_batch(data, FEATURES, "y", ConfigBatch.from_grid((2,), (0.1, 10.0), n_rounds=25))
+    for one, other in zip(alone, batch, strict=True):
+        both = one.predict(data).select("id", "prediction").join(other.predict(data).select("id", F.col("prediction").alias("p")), "id")
+        assert both.filter("abs(prediction - p) > 1e-9").count() == 0 and both.count() == 400
     out = cross_val_predict_proba(GradientBoosting(n_trees=1, max_depth=1, loss="logloss"), data, FEATURES, "b", "id", cv=2)
     assert out.count() == 400 and out.select("id").distinct().count() == 400
     out = cross_val_predict_interval(NaturalBoostNormal(n_trees=1), data, FEATURES, "y", "id", cv=2)
@@ -252,3 +257,11 @@ def test_bad_inputs(spark, data):
         GradientBoosting().predict(data)
     with pytest.raises(TypeError):
         GradientBoosting(none_such=1)
+    with pytest.raises(ValidationError, match="evaluation table 0"):
+        GradientBoosting(n_trees=1).fit(data, FEATURES, "y", eval_set=data.withColumn("y", F.lit(None).cast("double")))
+    model = GradientBoosting(n_trees=1, max_depth=1).fit(data, FEATURES, "y")
+    with pytest.raises(ValueError, match="another type"):
+        model.predict(data.withColumn("x0", F.array("x0")))
+    assert validate_predict_input(data, FEATURES) == 400
+    with pytest.raises(ValidationError):
+        validate_predict_input(data.withColumn("x0", F.lit(float("inf"))), FEATURES)
