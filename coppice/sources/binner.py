@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quantiles import quantile
+from ..functions.quantiles import EXACT_ROWS, exact_quantiles, quantile
 
 MISSING = 255
 MOST_BINS = 254
@@ -42,8 +42,8 @@ class Binner:
 
     @classmethod
     def fit(cls, df: DataFrame, features: list[str], n_bins: int = MOST_BINS, categorical: list[str] = (), approximate: int | None = None) -> Binner:
-        """All numeric quantiles come from one aggregate; string columns are categorical. approximate: see quantile(): exact
-        by default on tables of up to EXACT_ROWS rows, by a mergeable sketch of stated accuracy on larger ones."""
+        """String columns are categorical. Numeric quantiles are exact: of tables of up to EXACT_ROWS rows all come from one
+        aggregate, of larger ones from exact_quantiles(). approximate: from a mergeable sketch of that accuracy instead."""
         if n_bins > MOST_BINS:
             warnings.warn(f"n_bins={n_bins} is above {MOST_BINS}, which is used", stacklevel=2)
         n_bins = max(2, min(n_bins, MOST_BINS))
@@ -54,14 +54,15 @@ class Binner:
         points = [float(q) for q in np.linspace(0, 1, n_bins + 1)[1:-1]]
         text = [f for f in features if isinstance(df.schema[f].dataType, (T.StringType, T.BooleanType))]
         grouped = [f for f in features if f in set(categorical) | set(text)]
-        rows = df.count() if approximate is None else 0
+        large = not approximate and df.count() > EXACT_ROWS
+        apart = [f for f in features if f not in grouped] if large else []
+        values = {f: F.when(~is_missing(df, f), F.col(f"`{f}`").cast("double")) for f in features if f not in grouped}
         sums = [F.max(is_missing(df, f)).alias(f"m{i}") for i, f in enumerate(features)]
         for i, f in enumerate(features):
             if f in grouped:
                 sums.append(F.array_sort(F.collect_set(F.when(~is_missing(df, f), F.col(f"`{f}`")))).alias(f"v{i}"))
-            else:
-                value = F.when(~is_missing(df, f), F.col(f"`{f}`").cast("double"))
-                sums.append(quantile(value, points, rows, approximate).alias(f"v{i}"))
+            elif not large:
+                sums.append(quantile(values[f], points, 0, approximate).alias(f"v{i}"))
         # A feature of too many categories would make its set large: counted first, without keeping the values.
         if grouped:
             counts = df.agg(*(F.approx_count_distinct(f"`{f}`").alias(f"c{i}") for i, f in enumerate(grouped))).first()
@@ -69,6 +70,7 @@ class Binner:
                 if n > 4 * MOST_BINS:
                     raise ValueError(f"{f} has about {n} categories; at most {MOST_BINS} are allowed")
         row = df.agg(*sums).first()
+        exact = dict(zip(apart, exact_quantiles(df, [values[f] for f in apart], points), strict=True)) if apart else {}
         for i, f in enumerate(features):
             out.has_missing[f] = bool(row[f"m{i}"])
             if f in grouped:
@@ -76,7 +78,7 @@ class Binner:
                     raise ValueError(f"{f} has {len(row[f'v{i}'])} categories; at most {MOST_BINS} are allowed")
                 out.categories[f] = list(row[f"v{i}"])
             else:
-                out.edges[f] = [float(x) for x in np.unique(row[f"v{i}"] or [])]
+                out.edges[f] = [float(x) for x in np.unique((exact[f] if large else row[f"v{i}"]) or [])]
         return out
 
     def column(self, df: DataFrame, name: str) -> Column:
