@@ -70,3 +70,7 @@ def test_ranks_that_the_sketch_misses_are_found(spark, monkeypatch):
 
 def test_bin_numeric_equals_sql_on_many_rows(spark, large):
     assert_equals_sql(spark, large, "bin_numeric", "lineitem")
+
+
+def test_bin_missing_equals_sql_on_many_rows(spark, large):
+    assert_equals_sql(spark, large, "bin_missing", "events")
