@@ -99,8 +99,8 @@ def bin_transform_unseen(spark, sf_dir):
 
 
 # -- histograms ----------------------------------------------------------------------------------------------------
-def _hist_out(df: DataFrame, by=()) -> DataFrame:
-    return df.select(*(F.col(c).cast("long").alias(c) for c in (*by, "feature", "bin")), rounded("g", 4).alias("g"), rounded("h", 4).alias("h"), F.col("n").cast("long").alias("n"))
+def _hist_out(df: DataFrame, by=(), digits: int = 4) -> DataFrame:
+    return df.select(*(F.col(c).cast("long").alias(c) for c in (*by, "feature", "bin")), rounded("g", digits).alias("g"), rounded("h", 4).alias("h"), F.col("n").cast("long").alias("n"))
 
 
 _HIST = "round(sum(g), 4) + 0.0 AS g, round(sum(h), 4)::DOUBLE AS h, count(*)::BIGINT AS n"
@@ -126,7 +126,7 @@ def hist_node(spark, sf_dir):
 @query(f"WITH {_BINNED}, {_FLAT} SELECT feature::BIGINT AS feature, bin::BIGINT AS bin, round(sum(CASE WHEN l_linestatus <> 'F' THEN g ELSE 0 END), 2) + 0.0 AS g, round(sum(CASE WHEN l_linestatus <> 'F' THEN h ELSE 0 END), 4)::DOUBLE AS h, count(*) FILTER (l_linestatus <> 'F')::BIGINT AS n FROM f GROUP BY 1, 2")
 def hist_subtract(spark, sf_dir):
     rows, bins = _binned(spark, sf_dir), ["b0", "b1", "b2"]
-    return _hist_out(R.subtract_histograms(R.build_histogram(rows, bins), R.build_histogram(rows.filter("l_linestatus = 'F'"), bins))).withColumn("g", rounded("g", 2))
+    return _hist_out(R.subtract_histograms(R.build_histogram(rows, bins), R.build_histogram(rows.filter("l_linestatus = 'F'"), bins)), digits=2)
 
 
 # -- splits --------------------------------------------------------------------------------------------------------

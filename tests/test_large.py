@@ -82,3 +82,14 @@ def test_hist_root_equals_sql_on_many_rows(spark, large):
 
 def test_hist_node_equals_sql_on_many_rows(spark, large):
     assert_equals_sql(spark, large, "hist_node", "lineitem")
+
+
+def test_hist_subtract_equals_sql_on_many_rows(spark, large):
+    assert_equals_sql(spark, large, "hist_subtract", "lineitem")
+
+
+def test_hist_subtract_rounds_once(spark, tmp_path):
+    rows = [(i, float(i % 5), 0.01, 0.02, 25000.0 - 1000 * g, "A", s) for i, (g, s) in enumerate([(0.004996, "O"), (1.5, "F"), (0.25, "F"), (0.5, "O"), (0.125, "F")])]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_discount double, l_tax double, l_extendedprice double, l_returnflag string, l_linestatus string")
+    df.write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert_equals_sql(spark, str(tmp_path), "hist_subtract", "lineitem")
