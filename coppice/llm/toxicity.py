@@ -9,11 +9,12 @@ text and of its most toxic words, calibrated on labelled rows that the counts di
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import sys
 import uuid
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +23,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .calibration import apply_logistic, fit_logistic
-from .common import crc_mod, kept_in_worker, prepare, sample_labels, save
+from .common import crc_mod, kept_in_worker, mix64, prepare, sample_labels, save
 
 #: Characters of the longest n-gram; absolute discount.
 ORDER, DISCOUNT = 6, 0.75
 #: Bound of the labelled rows the class models (four fifths) and the calibration (one fifth) are fitted on. The shared
 #: backoff counts cover all documents.
 SAMPLE = 100_000
-#: Tokens that a worker remembers before it starts afresh.
-MET = 800_000
 #: Characters of the texts whose tokens are told apart at once (a longer text goes by itself).
 CHUNK = 4 << 20
+#: Characters of the different tokens that are scored at once (a longer token goes by itself).
+SLICE = 1 << 19
 #: Words longer than this are modelled by pieces of this length.
 PIECE = 40
 WORD = re.compile(r"[^\W\d_]+")
@@ -48,18 +49,33 @@ def words_of(text: str | None) -> list[str]:
     return [w for t in tokens_of(text) for w in WORD.findall(t)]
 
 
-def chunks(texts: list[str | None]):
-    """The different tokens of each run of texts of about CHUNK characters."""
+def split_runs(texts: list[str | None]):
+    """Runs of texts of about CHUNK characters, lower-cased, for Arrow to split at blanks. No letter is split at: whatever
+    counts as a blank, the words are the same."""
     lo = size = 0
     for hi, text in enumerate(texts, 1):
         size += len(text or "")
         if size >= CHUNK or hi == len(texts):
-            run = pa.array([(t or "").lower() for t in texts[lo:hi]], pa.large_string())
-            # No letter is split at: whatever counts as a blank, the words are the same.
-            yield pc.utf8_split_whitespace(run).flatten().unique().to_pylist()
+            yield pa.array([(t or "").lower() for t in texts[lo:hi]], pa.large_string())
             lo, size = hi, 0
 
 
+def chunks(texts: list[str | None]):
+    """The different tokens of each run of texts."""
+    for run in split_runs(texts):
+        yield pc.utf8_split_whitespace(run).flatten().unique().to_pylist()
+
+
+def slices(tokens: list[str]):
+    """The tokens in order, in lists of about SLICE characters."""
+    upto = np.cumsum([len(t) for t in tokens])
+    lo = 0
+    while lo < len(tokens):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE, "right")))
+        yield tokens[lo:hi]
+        lo = hi
+
+
 def spelled(word: str) -> list[str]:
     """The marked pieces whose characters the models predict."""
     return [START + word[i : i + PIECE] + (END if i + PIECE >= len(word) else "") for i in range(0, len(word), PIECE)]
@@ -269,51 +285,121 @@ def document_features(each: np.ndarray, lengths: np.ndarray) -> list[float]:
     return [float(each @ lengths / lengths.sum()), float(each.max()), float(top.mean())]
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Of each code point, whether words are made of it."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for m in WORD.finditer("".join(map(chr, range(len(out))))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _packed(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two whole numbers that stand for up to ORDER code points, 0 where there is none."""
+    a, b = (sum((c.astype(np.uint64) << np.uint64(21 * i) for i, c in enumerate(part)), start=np.uint64(0)) for part in (columns[:3], columns[3:]))
+    return a, b
+
+
+class Ratios:
+    """name -> ratio as a hash table of arrays, looked up many at once; 0 is given for names that are not there."""
+
+    def __init__(self, ratios: dict[str, float]):
+        n = len(ratios)
+        names = np.zeros((n, ORDER), np.uint32)
+        flat, lengths = _codes("".join(ratios)), np.fromiter(map(len, ratios), np.int64, n)
+        rows, ends = np.repeat(np.arange(n), lengths), np.repeat(np.cumsum(lengths), lengths)
+        names[rows, ends - 1 - np.arange(len(flat))] = flat  # the last character first
+        self.a, self.b = _packed(list(names.T))
+        self.values = np.fromiter(ratios.values(), np.float64, n)
+        self.mask = np.uint64((1 << max(4, (4 * n).bit_length())) - 1)
+        self.owner = np.full(int(self.mask) + 1, -1, np.int32)
+        slot, todo = self._slots(self.a, self.b), np.arange(n)
+        while len(todo):
+            free = todo[self.owner[slot[todo]] < 0]
+            self.owner[slot[free]] = free
+            todo = todo[self.owner[slot[todo]] != todo]
+            slot[todo] = (slot[todo] + 1) & int(self.mask)
+
+    def _slots(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (mix64(a + b * np.uint64(0x9E3779B97F4A7C15)) & self.mask).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The places of the names in values; -1 of those that are not there."""
+        out, slot, todo = np.full(len(a), -1, np.int32), self._slots(a, b), np.arange(len(a))
+        while len(todo):
+            owner = self.owner[slot]
+            there = owner >= 0
+            owner, slot, todo = owner[there], slot[there], todo[there]
+            same = (self.a[owner] == a[todo]) & (self.b[owner] == b[todo])
+            out[todo[same]] = owner[same]
+            todo, slot = todo[~same], (slot[~same] + 1) & int(self.mask)
+        return out
+
+
 class Evidence:
-    """The evidence of words from the ratios of their n-grams, and of a bounded number of tokens met.
+    """The evidence of words from the ratios of their n-grams.
     ratios: of n-grams that a class has counted, and by history of all others."""
 
     def __init__(self, ratios: tuple[dict[str, float], dict[str, float]]):
-        self.own, self.other = ratios
-        self.words: dict[str, float] = {}
-        self.tokens = Tokens(self)
-
-    def evidence(self, word: str) -> float:
-        own, other, total, length = self.own, self.other, 0.0, 0
-        for piece in spelled(word):
-            length += len(piece) - 1
-            for g in grams(piece):
-                r = own.get(g)
-                total += other.get(g[:-1], 0.0) if r is None else r
-        return total / max(1, length)
+        self.own, self.other = map(Ratios, ratios)
 
     def __call__(self, words: list[str]) -> list[float]:
-        return [self.evidence(w) for w in words]
+        return self.of_tokens(words)[1].tolist()
+
+    def of_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of words of each token; evidence and length (its end counts as a character) of all these words."""
+        flat = _codes("\n".join([*tokens, ""]))
+        letter = _letters()[flat]
+        starts = np.flatnonzero(letter & ~np.append(False, letter[:-1]))
+        lengths = np.flatnonzero(letter & ~np.append(letter[1:], False)) + 1 - starts
+        counts = np.diff(np.searchsorted(starts, np.append(0, np.flatnonzero(flat == 10) + 1)))
+        # The marked pieces of all words, one after another, and the place of each character in its piece.
+        extra = -(-lengths // PIECE)  # a start mark a piece; one end mark a word
+        sizes = lengths + extra + 1
+        ends = np.cumsum(sizes)
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(word)) - np.repeat(ends - sizes, sizes)
+        last = at == np.repeat(sizes, sizes) - 1
+        place = np.where(last, np.repeat(lengths - (extra - 1) * PIECE + 1, sizes), at % (PIECE + 1))
+        marked = np.zeros(len(word) + ORDER - 1, np.uint32)  # some blanks go before
+        codes = marked[ORDER - 1 :]
+        start = place == 0
+        codes[start], codes[last] = ord(START), ord(END)
+        codes[~(start | last)] = flat[letter]
+        keep = np.flatnonzero(~start)
+        columns = [np.where(place[keep] >= i, marked[ORDER - 1 - i + keep], 0) for i in range(ORDER)]
+        found = self.own.find(*_packed(columns))
+        each = np.zeros(len(keep))
+        each[found >= 0] = self.own.values[found[found >= 0]]
+        new = np.flatnonzero(found < 0)
+        found = self.other.find(*_packed([*(c[new] for c in columns[1:]), np.zeros(len(new), np.uint32)]))
+        each[new[found >= 0]] = self.other.values[found[found >= 0]]
+        return counts, np.bincount(word[keep], each, len(sizes)) / (lengths + 1), lengths + 1
+
+    def of_texts(self, texts: list[str | None]):
+        """Evidence and length of the words of each text, one after another. A word met often is reckoned once for each
+        run of texts of about CHUNK characters."""
+        for run in split_runs(texts):
+            split = pc.utf8_split_whitespace(run)
+            found = split.flatten().dictionary_encode()
+            tokens, index = found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
+            parts = [self.of_tokens(part) for part in slices(tokens)]
+            counts, each, lengths = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (list(zip(*parts, strict=True)) or [()] * 3))
+            # From tokens to their words, which mostly is one.
+            firsts, many = (np.cumsum(counts) - counts)[index], counts[index]
+            upto = np.append(0, np.cumsum(many))
+            words = np.repeat(firsts - upto[:-1], many) + np.arange(upto[-1])
+            each, lengths = each[words], lengths[words]
+            borders = upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
+            for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+                yield each[lo:hi], lengths[lo:hi]
 
     def of_text(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Evidence and length (its end counts as a character) of each word of the text."""
-        if len(self.tokens) > MET:
-            self.tokens.clear()
-            self.words.clear()
-        found = np.fromiter(chain.from_iterable(map(self.tokens.__getitem__, tokens_of(text))), np.float64).reshape(-1, 2)
-        return found[:, 0], found[:, 1]
-
-
-class Tokens(dict):
-    """token -> evidence and length of each of its words, one after another; unknown ones are added."""
-
-    def __init__(self, evidence: Evidence):
-        self.of = evidence
-
-    def __missing__(self, token: str) -> tuple[float, ...]:
-        out: tuple[float, ...] = ()
-        words = self.of.words
-        for w in [token] if token.isalpha() else WORD.findall(token):
-            if (e := words.get(w)) is None:
-                e = words[w] = self.of.evidence(w)
-            out += (e, len(w) + 1)
-        self[token] = out
-        return out
+        return next(self.of_texts([text]))
 
 
 def collected(ratios: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
@@ -331,9 +417,7 @@ def _scored(shared, weights, names):
     def run(batches):
         evidence = kept_in_worker(key, lambda: Evidence(shared.value))
         for b in batches:
-            rows = []
-            for text in b.column("_text").to_pylist():
-                rows.append(document_features(*evidence.of_text(text)))
+            rows = [document_features(*words) for words in evidence.of_texts(b.column("_text").to_pylist())]
             x = np.array(rows).reshape(-1, FEATURES)
             out = [b.column(n) for n in names]
             if weights is None:

@@ -298,3 +298,28 @@ def test_every_stage_takes_a_very_long_text(spark):
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == [1, 3]
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, df, "").count() >= 2, name
+
+
+def test_toxicity_of_many_texts_by_single_lookups():
+    """Words told apart and looked up by arrays, as by regular expression and one n-gram at a time; equal ones are equal."""
+    draw = random.Random(3)
+    letters = "abcdeioust" + "éüñßﬁİ" + "中文字" + "𐐀𐐨" + "²½٣_-1 . \x1c\x85  \n"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.choice([0, 1, 5, 39, 40, 41, 80, 81, 300]))) for _ in range(600)]
+    texts += [None, "", "idiot" * 30, "x" * 40, "12 _ 3"]
+    names = sorted({g for t in texts[:300] for w in toxicity.words_of(t) for p in toxicity.spelled(w) for g in toxicity.grams(p)})
+    own = {g: draw.uniform(-2, 2) for g in names if draw.random() < 0.7}
+    other = {h: draw.uniform(-2, 2) for h in sorted({g[:-1] for g in names}) if draw.random() < 0.7}
+
+    def one(word):
+        total = sum((own[g] if g in own else other.get(g[:-1], 0.0)) for p in toxicity.spelled(word) for g in toxicity.grams(p))
+        return total / (len(word) + 1)
+
+    evidence = toxicity.Evidence((own, other))
+    found = list(evidence.of_texts(texts))
+    assert len(found) == len(texts) and list(evidence.of_texts([])) == []
+    for text, (each, lengths) in zip(texts, found, strict=True):
+        words = toxicity.words_of(text)
+        assert lengths.tolist() == [len(w) + 1 for w in words]
+        assert each.tolist() == pytest.approx([one(w) for w in words], abs=1e-12)
+    none = toxicity.Evidence(({}, {}))
+    assert none(["word", "x"]) == [0.0, 0.0]
