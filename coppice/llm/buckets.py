@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, join_hot, release, save
+from .common import grouped, join_hot, release, save, tidy
 
 #: Weight of one block; a task holds two blocks at most.
 BLOCK = 512
@@ -94,7 +94,7 @@ def run_tasks(rows: DataFrame, work, schema: str) -> DataFrame:
                 yield out
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *TASK).sortWithinPartitions(*TASK).mapInArrow(run, schema).hint("rebalance")
+    return rows.repartition(n, *TASK).sortWithinPartitions(*TASK).mapInArrow(tidy(run), schema).hint("rebalance")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:

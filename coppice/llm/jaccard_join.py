@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import BLOCK, LINKS, leaves_of, live_buckets, pairs_of, resolved, run_tasks, tasks_of, totals_of
-from .common import join_hot, mix64, prepare, release, save
+from .common import join_hot, mix64, prepare, release, save, tidy
 
 #: Positions of the sketch; 32 bits each.
 WIDTH = 64
@@ -122,7 +122,7 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 weight.append(1 + len(s) // UNIT)
             yield pa.record_batch([b.column("id"), b.column("key"), pa.array(out, pa.binary()), pa.array(weight, pa.int32())], ["id", "key", "sketch", "weight"])
 
-    rows = docs.mapInArrow(run, "id long, key string, sketch binary, weight int")
+    rows = docs.mapInArrow(tidy(run), "id long, key string, sketch binary, weight int")
     return rows.withColumn("key", F.when(F.col("sketch").isNotNull(), F.col("key")))
 
 
@@ -226,7 +226,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = rows.filter("key is not null").groupBy("key").agg(*facts)
     classes = save(classes.withColumn("item", F.monotonically_increasing_id()), "jaccard-classes")
 
-    entries = classes.select("item", "weight", "sketch").mapInArrow(_first_level(runs_for(threshold, recall)), ENTRIES)
+    entries = classes.select("item", "weight", "sketch").mapInArrow(tidy(_first_level(runs_for(threshold, recall))), ENTRIES)
     leaves, spent = None, []
     for depth in range(DEPTH, LAST_DEPTH + 1):
         entries = save(entries.distinct() if depth > DEPTH else entries, "jaccard-entries")
@@ -239,7 +239,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         large = live.filter(F.col("load") > LIMIT)
         if depth == LAST_DEPTH or large.isEmpty():
             break
-        entries = large.select("bucket", "item").join(classes.select("item", "weight", "sketch"), "item").mapInArrow(_next_level, ENTRIES)
+        entries = large.select("bucket", "item").join(classes.select("item", "weight", "sketch"), "item").mapInArrow(tidy(_next_level), ENTRIES)
     lists = save(leaves_of(leaves), "jaccard-leaves")
     known = classes.select("item", "key", "least", "size", "sketch").join(lists, "item")
 
@@ -251,7 +251,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # The text of one row of each class: of those of its least id.
     named = docs.withColumn("least", F.coalesce("id", F.lit(NO_ID))).select("key", "least", "text")
     texts = join_hot(named, wanted.withColumn("least", F.coalesce("least", F.lit(NO_ID))), ["key", "least"], "size", "inner").dropDuplicates(["item"])
-    sets = texts.select("item", "size", "sketch", "leaves", "text").mapInArrow(_sets(k), "item long, size long, sketch binary, leaves array<long>, shingles binary")
+    sets = texts.select("item", "size", "sketch", "leaves", "text").mapInArrow(tidy(_sets(k)), "item long, size long, sketch binary, leaves array<long>, shingles binary")
     sets = save(sets, "jaccard-sets")
     found = save(run_tasks(needed.join(sets, "item"), _verified(threshold - SLACK, threshold), "item long, links long, root long"), "jaccard-links")
     release(needed, wanted, sets)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, join_hot, prepare, release, save
+from .common import crc_mod, join_hot, prepare, release, save, tidy
 
 #: Buckets of hashed n-grams, for n-grams of one to three characters.
 SIZE, ORDERS = 1 << 12, (1, 2, 3)
@@ -159,7 +159,7 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, most: int = SAMPLE) ->
             yield pa.record_batch([b.column("lang"), b.column("hash"), pa.array([None if v is None else v.astype(np.float32).tobytes() for v in x], pa.binary())], ["lang", "hash", "x"])
 
     chosen = rows.join(F.broadcast(drawn), ["lang", "hash"]).dropDuplicates(["lang", "hash"])  # at most `most` rows, or one a language
-    got = chosen.select("lang", "hash", "text").mapInArrow(run, "lang string, hash long, x binary").filter("x is not null").toArrow()
+    got = chosen.select("lang", "hash", "text").mapInArrow(tidy(run), "lang string, hash long, x binary").filter("x is not null").toArrow()
     release(texts, counts)
     names, places = got["lang"].to_pylist(), got["hash"].to_pylist()
     x = np.zeros((len(names), SIZE), np.float32)
@@ -188,7 +188,7 @@ def identify_language(docs: DataFrame, model: dict, keep: list, text_col: str =
             yield pa.record_batch(out, [*names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double")
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_in_worker, prepare
+from .common import kept_in_worker, prepare, tidy
 
 MARK = "▁"
 #: The default vocabulary, among the public files of the box; a parameter of every entry point.
@@ -158,7 +158,7 @@ def encode_documents(docs: DataFrame, keep: list, text_col: str = "text", model:
             yield pa.record_batch([*(b.column(n) for n in names), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [*names, *extra])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, fields + ("n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean" if digests else "ids array<int>"))
+    return rows.mapInArrow(tidy(run), fields + ("n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean" if digests else "ids array<int>"))
 
 
 def decode_documents(encoded: DataFrame, keep: list, ids_col: str = "ids", model: dict | str = MODEL) -> DataFrame:
@@ -178,4 +178,4 @@ def decode_documents(encoded: DataFrame, keep: list, ids_col: str = "ids", model
             yield pa.record_batch([*(b.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, fields + "text string")
+    return rows.mapInArrow(tidy(run), fields + "text string")

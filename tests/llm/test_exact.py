@@ -7,13 +7,14 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from coppice.llm import embedding_dedup, jaccard_join, language_id, mixing, pii, quality, sentencepiece, toxicity, url_filter
-from coppice.llm.common import join_hot
+from coppice.llm.common import join_hot, tidy
 from coppice.llm.embedding_dedup import buckets, rotations_for
 
 
@@ -323,3 +324,28 @@ def test_toxicity_of_many_texts_by_single_lookups():
         assert each.tolist() == pytest.approx([one(w) for w in words], abs=1e-12)
     none = toxicity.Evidence(({}, {}))
     assert none(["word", "x"]) == [0.0, 0.0]
+
+
+def held_mb() -> float:
+    """MB of this process without mapped files."""
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(line.split()[1]) for line in f if line.startswith(("Pss_Anon", "Pss_Shmem"))) / 1024
+
+
+def test_workers_give_freed_memory_back():
+    """What a worker holds between stages is what it remembers, not what Arrow and the C library kept for later."""
+
+    def run(batches):
+        for _ in batches:
+            rows = [pa.array(np.arange(k % 4000 + 1)) for k in range(20_000)]
+            out = pa.record_batch([pa.array([x.nbytes for x in rows])], ["n"])
+            del rows
+            yield out
+
+    before = held_mb()
+    assert sum(b.num_rows for b in tidy(run)([1, 2])) == 40_000
+    assert held_mb() < before + 60
+    work = tidy(run)([1, 2])
+    next(work)
+    work.close()  # a task that ends early
+    assert held_mb() < before + 60
